@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
+from .leak import leaks
 from .spans import SharedSpans
 from .tokenize import decode, encode
 
@@ -20,6 +21,19 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(encode(table(spark, sf_dir, "documents")))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least 13 consecutive words of an item's passage."""
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every item, the number of documents it leaked into."""
+    items = table(spark, sf_dir, "eval_items").select("item_id", "split")
+    found = p7_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"))
+    return items.join(found, "item_id", "left").select("item_id", "split", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents with a common piece of at least 300 characters."""
     return SharedSpans(table(spark, sf_dir, "documents")).pairs().select(F.col("key_a").alias("doc_id_a"), F.col("key_b").alias("doc_id_b"))
@@ -30,7 +44,7 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(table(spark, sf_dir, "documents")).coverage().withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_decoded, p8_found, p8_coverage)}
+QUERIES = {f.__name__: f for f in (p6_ids, p6_decoded, p7_found, p7_items, p8_found, p8_coverage)}
 
 SQL = {
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
