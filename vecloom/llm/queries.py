@@ -7,10 +7,21 @@ from pyspark.sql import functions as F
 
 from ..runtime import table
 from .leak import leaks
+from .mih import neighbours, similar_pairs
 from .spans import SharedSpans
 from .tokenize import decode, encode
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of points with cosine at least 0.95 where either is among the 5 best of the other."""
+    return similar_pairs(table(spark, sf_dir, "points"), k=5, least=0.95)
+
+
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked neighbours themselves, at cosine 0.95 or more."""
+    return neighbours(table(spark, sf_dir, "points"), k=5, least=0.95).select("collection_name", "id", "other", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("bigint").alias("rank"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text; null and empty texts give empty lists."""
     return encode(table(spark, sf_dir, "documents"))
@@ -44,9 +55,22 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(table(spark, sf_dir, "documents")).coverage().withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_decoded, p7_found, p7_items, p8_found, p8_coverage)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p6_ids, p6_decoded, p7_found, p7_items, p8_found, p8_coverage)}
+
+_VALID = """
+        WITH valid AS (
+            SELECT collection_name, id, CAST(vector AS DOUBLE[]) AS v FROM (
+                SELECT * FROM points QUALIFY row_number() OVER (PARTITION BY collection_name, id ORDER BY version DESC NULLS LAST) = 1
+            ) WHERE len(vector) = 64 AND len(list_filter(vector, x -> x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(vector, x -> x <> 0)) > 0
+        ), near AS (
+            SELECT a.collection_name, a.id, b.id AS other, list_cosine_similarity(a.v, b.v) AS cosine
+            FROM valid a JOIN valid b ON a.collection_name = b.collection_name AND a.id <> b.id
+        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY collection_name, id ORDER BY cosine DESC, other) AS rank FROM near WHERE cosine >= 0.95)"""
 
 SQL = {
+    "p2_found": _VALID + """
+        SELECT DISTINCT collection_name, least(id, other) AS id_a, greatest(id, other) AS id_b FROM ranked WHERE rank <= 5""",
+    "p2_neighbours": _VALID + " SELECT collection_name, id, other, round(cosine, 6) + 0 AS cosine, rank FROM ranked WHERE rank <= 5",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p8_found": """
         WITH grams AS (
