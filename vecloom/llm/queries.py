@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
+from .density import DensityPeaks
 from .leak import leaks
 from .mih import neighbours, similar_pairs
 from .spans import SharedSpans
@@ -22,6 +23,17 @@ def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(table(spark, sf_dir, "points"), k=5, least=0.95).select("collection_name", "id", "other", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each point in a cluster of at least 5 points linked at cosine 0.80."""
+    return DensityPeaks(table(spark, sf_dir, "points")).labels().select("collection_name", "id", "cluster_id")
+
+
+def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a cluster: its size and its most typical members."""
+    found = DensityPeaks(table(spark, sf_dir, "points")).clusters()
+    return found.select("collection_name", "cluster_id", "size", F.array_join("typical", " ").alias("typical"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text; null and empty texts give empty lists."""
     return encode(table(spark, sf_dir, "documents"))
@@ -55,22 +67,34 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(table(spark, sf_dir, "documents")).coverage().withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p6_ids, p6_decoded, p7_found, p7_items, p8_found, p8_coverage)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_clusters, p6_ids, p6_decoded, p7_found, p7_items, p8_found, p8_coverage)}
 
 _VALID = """
-        WITH valid AS (
+        WITH RECURSIVE valid AS (
             SELECT collection_name, id, CAST(vector AS DOUBLE[]) AS v FROM (
                 SELECT * FROM points QUALIFY row_number() OVER (PARTITION BY collection_name, id ORDER BY version DESC NULLS LAST) = 1
-            ) WHERE len(vector) = 64 AND len(list_filter(vector, x -> x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(vector, x -> x <> 0)) > 0
+            ) WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(vector, lambda x: x <> 0)) > 0
         ), near AS (
             SELECT a.collection_name, a.id, b.id AS other, list_cosine_similarity(a.v, b.v) AS cosine
             FROM valid a JOIN valid b ON a.collection_name = b.collection_name AND a.id <> b.id
-        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY collection_name, id ORDER BY cosine DESC, other) AS rank FROM near WHERE cosine >= 0.95)"""
+        )"""
+
+_RANKED = _VALID + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY collection_name, id ORDER BY cosine DESC, other) AS rank FROM near WHERE cosine >= 0.95)"""
+
+_LABELS = _VALID + """, edge AS (SELECT collection_name AS c, id AS x, other AS y FROM near WHERE cosine >= 0.80),
+        reach AS (SELECT c, x, y FROM edge UNION SELECT r.c, r.x, e.y FROM reach r JOIN edge e ON r.c = e.c AND r.y = e.x),
+        lowest AS (SELECT c, x, least(x, min(y)) AS k FROM reach GROUP BY c, x),
+        labels AS (SELECT *, count(*) OVER (PARTITION BY c, k) AS size FROM lowest),
+        density AS (SELECT c, x, count(*) AS d FROM edge GROUP BY c, x)"""
 
 SQL = {
-    "p2_found": _VALID + """
+    "p3_found": _LABELS + " SELECT c AS collection_name, x AS id, k AS cluster_id FROM labels WHERE size >= 5",
+    "p3_clusters": _LABELS + """
+        SELECT c AS collection_name, k AS cluster_id, any_value(size) AS size, string_agg(x, ' ' ORDER BY r) FILTER (r <= 3) AS typical
+        FROM (SELECT *, row_number() OVER (PARTITION BY c, k ORDER BY d DESC, x) AS r FROM labels JOIN density USING (c, x) WHERE size >= 5) GROUP BY c, k""",
+    "p2_found": _RANKED + """
         SELECT DISTINCT collection_name, least(id, other) AS id_a, greatest(id, other) AS id_b FROM ranked WHERE rank <= 5""",
-    "p2_neighbours": _VALID + " SELECT collection_name, id, other, round(cosine, 6) + 0 AS cosine, rank FROM ranked WHERE rank <= 5",
+    "p2_neighbours": _RANKED + " SELECT collection_name, id, other, round(cosine, 6) + 0 AS cosine, rank FROM ranked WHERE rank <= 5",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p8_found": """
         WITH grams AS (
