@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import pipelines
+from .plans import pipelines, vector_store
 
-QUERIES = {**pipelines.QUERIES}
-SQL = {**pipelines.SQL}
+QUERIES = {**vector_store.QUERIES, **pipelines.QUERIES}
+SQL = {**vector_store.SQL, **pipelines.SQL}
