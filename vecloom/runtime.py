@@ -76,8 +76,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Give a CPU-heavy map stage at least one partition per core.
 
     Large inputs already have more splits than cores and pass through untouched;
-    only an input of few splits pays for a round-robin exchange.
+    only an input of few splits pays for a round-robin exchange. Behind a shuffle
+    adaptive execution chooses the partitions, and asking would run the shuffle.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     want = parallelism(df.sparkSession)
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
 
