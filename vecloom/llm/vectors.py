@@ -27,6 +27,8 @@ BLOCK = 4096
 #: Rows of the sample that rotations and pivots are learned from (an index is fitted
 #: on it; every row is indexed). The rows of smallest hash, so a fixed random subset.
 SAMPLE_ROWS = 8192
+#: Largest table of hot keys that is sent to all tasks.
+HOT_BYTES = 16 << 20
 
 
 def valid_points(points: DataFrame, dim: int = DIM) -> DataFrame:
@@ -68,12 +70,19 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def tiled(keyed: DataFrame, counts: DataFrame, block: int = BLOCK) -> DataFrame:
+def tiled(keyed: DataFrame, hot: DataFrame, block: int = BLOCK) -> DataFrame:
     """Rows ``(key, pid, ...)`` with ``(tile, lo, hi)``: one row for each tile pair that needs it.
 
-    ``counts`` is ``(key, n)`` of the keys above ``block``; other keys are one tile.
+    ``hot`` is ``(key, n)`` of the keys above ``block``; other keys are one tile. The
+    hot keys are counted before they are sent to all tasks; were they too many for
+    that, the join would shuffle.
     """
-    cut = keyed.join(counts.select("key", F.ceil(F.col("n") / block).cast("int").alias("tiles")), "key", "left")
+    hot = materialize(hot, "hot-keys")
+    n = hot.count()
+    if not n:
+        return keyed.select("*", *[F.lit(0).alias(c) for c in ("tile", "lo", "hi")])
+    tiles = hot.select("key", F.ceil(F.col("n") / block).cast("int").alias("tiles"))
+    cut = keyed.join(F.broadcast(tiles) if n * 16 <= HOT_BYTES else tiles, "key", "left")
     tile = F.pmod(F.xxhash64("pid"), F.coalesce("tiles", F.lit(1))).cast("int")
     cut = cut.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
     return cut.withColumn("lo", F.least("tile", "other")).withColumn("hi", F.greatest("tile", "other")).drop("other", "tiles")
