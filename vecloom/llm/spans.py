@@ -142,7 +142,7 @@ class SharedSpans:
         shared = sigs.groupBy("sig").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("sig")
         hits = sigs.join(shared, "sig", "left_semi")
         texts = self.rows.withColumnRenamed("key", "rep")
-        piece = hits.join(texts, "rep").select(
+        piece = hits.join(texts, "rep").where(F.length("text") >= F.col("pos") + k).select(
             "rep", "pos", "sig",
             F.sha2(F.substring("text", F.col("pos") + 1, F.lit(k)), 256).alias("digest"),
             F.reverse(F.substring("text", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(reach)))).alias("left"),
