@@ -66,8 +66,8 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_state, p4_found, p4_requests, p4
 
 _LOG_SQL = """
     WITH log AS (
-        SELECT collection_name, id, coalesce(lsn, start_lsn + entry_no) AS seq, lower(trim(op)) IN ('deletevector', 'delete', 'd') AS del, vector, metadata, arrived_at
-        FROM wal_records WHERE id IS NOT NULL AND lower(trim(op)) IN ('addvector', 'insert', 'i', 'update', 'u', 'upsert', 'deletevector', 'delete', 'd')
+        SELECT collection_name, id, coalesce(lsn, start_lsn + entry_no) AS seq, lower(regexp_replace(op, '[^A-Za-z]', '', 'g')) IN ('deletevector', 'delete', 'd') AS del, vector, metadata, arrived_at
+        FROM wal_records WHERE id IS NOT NULL AND lower(regexp_replace(op, '[^A-Za-z]', '', 'g')) IN ('addvector', 'insert', 'i', 'update', 'u', 'upsert', 'deletevector', 'delete', 'd')
     ), once AS (
         SELECT * FROM log WHERE seq IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY collection_name, id, seq ORDER BY metadata IS NOT NULL DESC, arrived_at DESC) = 1

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from ..runtime import scratch_path
 
 STRETCH = 4096
-#: Spellings of the writers, in lower case.
+#: Spellings of the writers, in lower case and letters only.
 UPSERTS = ("addvector", "insert", "i", "update", "u", "upsert")
 DELETES = ("deletevector", "delete", "d")
 _KEY = ["collection_name", "id"]
@@ -37,7 +37,7 @@ _KEY = ["collection_name", "id"]
 
 def changes(log: DataFrame) -> DataFrame:
     """``(collection_name, id, seq, is_delete, body)`` of the rows that touch a point."""
-    op = F.lower(F.trim("op"))
+    op = F.lower(F.regexp_replace("op", "[^A-Za-z]", ""))
     seq: Column = F.coalesce(F.col("lsn"), F.col("start_lsn") + F.col("entry_no"))
     return (
         log.where(F.col("id").isNotNull() & op.isin(*UPSERTS, *DELETES))
