@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vecloom.functions.distance import Metric, best_first, cosine, dot, l2, norm
-from vecloom.functions.payload import canonical_json, field, field_names, literal_json, matches
+from vecloom.functions.payload import build_filter, canonical_json, field, field_names, literal_json, matches, parse_filter
 
 
 def test_distances(spark):
@@ -69,3 +69,11 @@ def test_filters(spark):
     assert [r[0] for r in field_names(rows.where("id <> 5")).collect()] == ["a.b", "active", "count", "tag", "x"]
     assert rows.select(field(F.col("payload"), "x")).collect()[1][0] == "null"
     assert literal_json({"b": 1.0, "a": [None, True, "é"]}) == '{"a":[null,true,"é"],"b":1}'
+
+
+def test_filter_forms():
+    assert build_filter([(" a ", 1), ("", 2), ("b", "x")]) == {"a": 1, "b": "x"} and build_filter([]) is None
+    assert parse_filter(' {"a": 1}') == {"a": 1} and parse_filter(" ") is None and parse_filter("{}") is None
+    for wrong in ("[1]", "{", "1"):
+        with pytest.raises(ValueError):
+            parse_filter(wrong)

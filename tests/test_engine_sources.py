@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from vecloom.operators import explore
 from vecloom.schema import AlreadyExists, CorruptData, GraphConfig, InvalidArgument, NotFound
 from vecloom.sources import points as src
-from vecloom.sources.store import Engine
+from vecloom.sources.store import AsyncEngine, Engine
 
 
 @pytest.fixture()
@@ -79,6 +79,10 @@ def test_points_live_through_checkpoint_and_snapshot(spark, engine):
     engine.delete_snapshot("c", "one")
     with pytest.raises(NotFound):
         engine.delete_snapshot("c", "one")
+    assert engine.checkpoint_all() == {"back": None, "c": None} and engine.verify("back") == {"count": 2, "dim": 2}
+    pool = AsyncEngine(engine)
+    assert pool.list_points("back").result().count() == 2
+    pool.close()
 
 
 def test_bad_batch_is_refused(engine):

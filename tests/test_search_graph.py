@@ -67,6 +67,17 @@ def test_batch_equals_brute_force(spark, cloud, metric):
     assert search.knn_batch(points, queries.limit(0), 7).count() == 0
 
 
+@pytest.mark.parametrize("metric", ["COSINE", "L2"])
+def test_tiles_of_queries_give_the_same(spark, cloud, metric, monkeypatch):
+    _, points = cloud
+    queries = points.select(F.col("id").alias("qid"), F.col("vector").alias("query"))
+    whole = {tuple(r) for r in search.knn_batch(points, queries, 4, metric, exclude_self=True).collect()}
+    monkeypatch.setattr(search, "QUERY_BLOCK", 100)
+    monkeypatch.setattr(search, "BLOCK", 64)
+    tiles = {tuple(r) for r in search.knn_batch(points, queries, 4, metric, exclude_self=True).collect()}
+    assert {r[:2] for r in tiles} == {r[:2] for r in whole} and len(tiles) == 1200
+
+
 def test_plans(spark, six, tmp_path):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     six.write.parquet(f"{tmp_path}/six")

@@ -71,3 +71,22 @@ def matches(payload: Column, must_match: dict[str, Any] | None) -> Column | None
 def field_names(points: DataFrame, payload: str = "payload") -> DataFrame:
     """Sorted distinct top-level field names of the payloads: ``(field)``."""
     return points.select(F.explode(F.json_object_keys(payload)).alias("field")).distinct().orderBy("field")
+
+
+def build_filter(pairs: list[tuple[str, Any]]) -> dict[str, Any] | None:
+    """A filter from ``(field, value)`` rows of a form: names trimmed, blank ones dropped, types kept."""
+    kept = {name.strip(): value for name, value in pairs if name and name.strip()}
+    return kept or None
+
+
+def parse_filter(text: str | None) -> dict[str, Any] | None:
+    """A filter from JSON text, which must be an object; blank text and ``{}`` are no filter."""
+    if text is None or not text.strip():
+        return None
+    try:
+        value = json.loads(text)
+    except ValueError as wrong:
+        raise ValueError("a filter must be JSON") from wrong
+    if not isinstance(value, dict):
+        raise ValueError("a filter must be an object")
+    return value or None

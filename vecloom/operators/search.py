@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import Metric, best_first, norm, score
 from ..functions.payload import matches
+from .blocks import BLOCK, by_block
 
 #: How many rows a filtered search of the post mode looks at.
 OVERFETCH_FACTOR, OVERFETCH_EXTRA, OVERFETCH_CAP = 5, 50, 1000
@@ -84,51 +85,78 @@ def knn_segments(points: DataFrame, q: list[float], k: int, segment: str, metric
 def knn_batch(points: DataFrame, queries: DataFrame, k: int, metric: Metric | str = "COSINE", id: str = "id", vector: str = "vector", qid: str = "qid", query: str = "query", exclude_self: bool = False) -> DataFrame:
     """``(qid, id, score, rank)``: the ``k`` best points of every query.
 
-    Queries are taken in blocks of ``QUERY_BLOCK``; the points are scanned once for a
-    block. Each partition returns at most ``k`` rows a query (and ties of the last).
+    Up to ``QUERY_BLOCK`` queries travel to the partitions of the points as a matrix.
+    More are cut into tiles like the points, and every pair of tiles is a task; neither
+    side is collected. A task returns at most ``k`` rows a query (and ties of the last).
     """
     metric = Metric.of(metric)
     total = queries.count()
-    blocks = -(-total // QUERY_BLOCK)
     id_type, qid_type = points.schema[id].dataType.simpleString(), queries.schema[qid].dataType.simpleString()
-    source = queries.select(F.col(qid).alias("qid"), F.col(query).cast("array<double>").alias("query"), F.pmod(F.xxhash64(qid), F.lit(max(blocks, 1))).alias("block"))
-    found = points.sparkSession.createDataFrame([], f"qid {qid_type}, id {id_type}, score double")
-    for block in range(blocks):
-        rows = source.where(F.col("block") == block).select("qid", "query").toArrow().to_pylist()
-        if rows:
-            part = points.select(F.col(id).alias("id"), F.col(vector).alias("vector")).mapInPandas(_block_knn(rows, k, metric, exclude_self), f"qid {qid_type}, id {id_type}, score double")
-            found = part if blocks == 1 else found.unionByName(part)
+    base, asked = points.select(F.col(id).alias("id"), F.col(vector).alias("vector")), queries.select(F.col(qid).alias("qid"), F.col(query).cast("array<double>").alias("query"))
+    if total <= QUERY_BLOCK:
+        rows = asked.toArrow().to_pylist()
+        found = base.mapInPandas(_block_knn(rows, k, metric, exclude_self), f"qid {qid_type}, id {id_type}, score double") if rows else points.sparkSession.createDataFrame([], f"qid {qid_type}, id {id_type}, score double")
+    else:
+        found = _tile_knn(base, asked, total, k, metric, exclude_self, id_type, qid_type)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(*best_first(metric), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _tile_knn(points: DataFrame, queries: DataFrame, total: int, k: int, metric: Metric, exclude_self: bool, id_type: str, qid_type: str) -> DataFrame:
+    """Tiles of queries against tiles of points; a tile pair is one group of at most two tiles of rows."""
+    q_tiles, p_tiles = -(-total // BLOCK), max(1, -(-points.count() // BLOCK))
+    tile = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    filler = lambda kind: F.lit(0).cast(kind)
+    left = points.select(tile("id", p_tiles).alias("hi"), every(q_tiles).alias("lo"), "id", filler(qid_type).alias("qid"), F.col("vector").cast("array<double>").alias("vector"), F.lit(0).alias("asks"))
+    right = queries.select(every(p_tiles).alias("hi"), tile("qid", q_tiles).alias("lo"), filler(id_type).alias("id"), "qid", F.col("query").alias("vector"), F.lit(1).alias("asks"))
+    rows = left.unionByName(right).withColumn("key", F.lit(0).cast("bigint"))
+
+    def work(cols: dict) -> Iterator[dict]:
+        asks = cols["asks"] == 1
+        if not asks.any() or asks.all():
+            return
+        at, to = np.flatnonzero(asks), np.flatnonzero(~asks)
+        best = _best_rows(cols["vector"][at], cols["vector"][to], cols["qid"][at], cols["id"][to], k, metric, exclude_self)
+        yield from best
+
+    return by_block(rows, work, f"qid {qid_type}, id {id_type}, score double")
+
+
+def _best_rows(q: np.ndarray, x: np.ndarray, qids: np.ndarray, ids: np.ndarray, k: int, metric: Metric, exclude_self: bool) -> Iterator[dict]:
+    """The ``k`` best rows of ``x`` for each row of ``q``, with the ties of the last."""
+    if k <= 0 or not len(x):
+        return
+    q, x = q.astype(np.float64), x.astype(np.float64)
+    x_norm = np.sqrt((x * x).sum(axis=1))
+    for s in range(0, len(q), 512):
+        part = q[s : s + 512]
+        if metric is Metric.COSINE:
+            scale = np.sqrt((part * part).sum(axis=1))[:, None] * x_norm[None, :]
+            score = np.clip(np.divide(part @ x.T, scale, out=np.zeros(scale.shape), where=scale > 0), -1, 1)
+            good = score
+        else:
+            # differences, not the expanded square: exact for equal vectors
+            score = np.stack([np.sqrt(((x - one) ** 2).sum(axis=1)) for one in part])
+            good = -score
+        if exclude_self:
+            good = np.where(qids[s : s + 512, None] == ids[None, :], -np.inf, good)
+        take = min(k, good.shape[1])
+        # a small margin keeps ties of the last place for the exact ranking above
+        edge = np.partition(good, good.shape[1] - take, axis=1)[:, good.shape[1] - take]
+        i, j = np.nonzero((good >= edge[:, None] - 1e-12) & np.isfinite(good))
+        yield {"qid": qids[s + i], "id": ids[j], "score": score[i, j]}
+
+
 def _block_knn(rows: list[dict], k: int, metric: Metric, exclude_self: bool):
     ids = np.array([r["qid"] for r in rows], dtype=object)
     q = np.array([r["query"] for r in rows], dtype=np.float64)
-    q_norm = np.sqrt((q * q).sum(axis=1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch) or k <= 0:
-                continue
-            x = np.stack(batch["vector"].to_numpy()).astype(np.float64)
-            x_norm = np.sqrt((x * x).sum(axis=1))
-            product = q @ x.T
-            if metric is Metric.COSINE:
-                scale = q_norm[:, None] * x_norm[None, :]
-                s = np.clip(np.divide(product, scale, out=np.zeros_like(product), where=scale > 0), -1, 1)
-                good = s
-            else:
-                # differences, not the expanded square: exact for equal vectors
-                s = np.stack([np.sqrt(((x - one) ** 2).sum(axis=1)) for one in q])
-                good = -s
-            if exclude_self:
-                good = np.where(ids[:, None] == batch["id"].to_numpy()[None, :], -np.inf, good)
-            take = min(k, good.shape[1])
-            # a small margin keeps ties of the last place for the exact ranking above
-            edge = np.partition(good, good.shape[1] - take, axis=1)[:, good.shape[1] - take]
-            i, j = np.nonzero((good >= edge[:, None] - 1e-12) & np.isfinite(good))
-            yield pd.DataFrame({"qid": ids[i], "id": batch["id"].to_numpy()[j], "score": s[i, j]})
+            if len(batch):
+                for best in _best_rows(q, np.stack(batch["vector"].to_numpy()), ids, batch["id"].to_numpy(), k, metric, exclude_self):
+                    yield pd.DataFrame(best)
 
     return run
 

@@ -152,6 +152,26 @@ class Engine:
         if meta["state"]:
             self.files.delete(f"{self._dir(name)}/state/{meta['state']}")
 
+    def checkpoint_all(self) -> dict[str, str | None]:
+        """Checkpoint every collection; one that fails does not stop the others: ``name -> error or None``."""
+        out: dict[str, str | None] = {}
+        for name in self.list_collections():
+            try:
+                self.checkpoint(name)
+                out[name] = None
+            except Exception as wrong:  # noqa: BLE001
+                out[name] = str(wrong)
+        return out
+
+    def verify(self, name: str) -> dict:
+        """What opening a collection should find: every vector of the right length, dense numbers, readable files."""
+        meta = self._meta(name)
+        row = self.points(name).agg(F.count("*").alias("n"), F.count_if(F.size("vector") != meta["dim"]).alias("wrong")).first()
+        holes = wal.gaps(self.log(name)).count()
+        if row["wrong"] or holes:
+            raise CorruptData(f"'{name}': {row['wrong']} vectors of a wrong length, {holes} gaps in the log")
+        return {"count": row["n"], "dim": meta["dim"]}
+
     # points
 
     def upsert(self, name: str, rows: DataFrame) -> DataFrame:
@@ -251,3 +271,19 @@ class Engine:
         if not self.files.exists(self._snapshot(name, snapshot)):
             raise NotFound(f"Snapshot '{snapshot}' not found")
         self.files.delete(self._snapshot(name, snapshot))
+
+
+class AsyncEngine:
+    """The engine's methods as futures: Spark runs the jobs of several callers at once."""
+
+    def __init__(self, engine: Engine, workers: int = 8):
+        from concurrent.futures import ThreadPoolExecutor
+
+        self._engine, self._pool = engine, ThreadPoolExecutor(workers)
+
+    def __getattr__(self, name: str):
+        method = getattr(self._engine, name)
+        return lambda *args, **kwargs: self._pool.submit(method, *args, **kwargs)
+
+    def close(self) -> None:
+        self._pool.shutdown()
