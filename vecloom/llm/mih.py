@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.blocks import BLOCK, by_block, hot_keys, sides, tiled, vectors
 from ..runtime import materialize, spread
-from .vectors import BLOCK, DIM, Classes, by_block, hot_keys, sides, tiled, unit, vectors
+from .vectors import DIM, Classes, unit
 
 #: Probability that a pair just at the threshold meets in no bucket.
 MISS = 5e-4

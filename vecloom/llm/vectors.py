@@ -1,34 +1,24 @@
-"""Shared ground of the vector operators: valid points, classes of copies, blocks of rows.
+"""Shared ground of the vector operators: valid points and classes of copies.
 
 A point counts once, with its row of highest version (null is lowest; among equals
 the greatest vector). Points whose vector is not ``dim`` finite numbers, or is all
 zero, do not take part. Points of one collection with the same vector are one
 *class*; a class is compared once, however many members it has.
-
-Blocks: rows that must be compared share a key. A key with more than ``BLOCK``
-rows is cut into tiles, and every pair of tiles becomes a task of its own, so
-the work in memory stays bounded whatever the key's size and no row is dropped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.blocks import vectors
 from ..runtime import materialize
 
 DIM = 64
-#: Rows of one tile: a tile pair needs about 80 MB in a worker.
-BLOCK = 4096
 #: Rows of the sample that rotations and pivots are learned from (an index is fitted
 #: on it; every row is indexed). The rows of smallest hash, so a fixed random subset.
 SAMPLE_ROWS = 8192
-#: Largest table of hot keys that is sent to all tasks.
-HOT_BYTES = 16 << 20
 
 
 def valid_points(points: DataFrame, dim: int = DIM) -> DataFrame:
@@ -58,92 +48,8 @@ class Classes:
         return unit(vectors(picked.column(0).combine_chunks())) if picked.num_rows else np.zeros((0, DIM))
 
 
-def vectors(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, DIM), np.float32)
-
-
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows of length 1 as doubles; scaled first, so tiny and huge numbers keep their direction."""
     x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
-def tiled(keyed: DataFrame, hot: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Rows ``(key, pid, ...)`` with ``(tile, lo, hi)``: one row for each tile pair that needs it.
-
-    ``hot`` is ``(key, n)`` of the keys above ``block``; other keys are one tile. The
-    hot keys are counted before they are sent to all tasks; were they too many for
-    that, the join would shuffle.
-    """
-    hot = materialize(hot, "hot-keys")
-    n = hot.count()
-    if not n:
-        return keyed.select("*", *[F.lit(0).alias(c) for c in ("tile", "lo", "hi")])
-    tiles = hot.select("key", F.ceil(F.col("n") / block).cast("int").alias("tiles"))
-    cut = keyed.join(F.broadcast(tiles) if n * 16 <= HOT_BYTES else tiles, "key", "left")
-    tile = F.pmod(F.xxhash64("pid"), F.coalesce("tiles", F.lit(1))).cast("int")
-    cut = cut.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
-    return cut.withColumn("lo", F.least("tile", "other")).withColumn("hi", F.greatest("tile", "other")).drop("other", "tiles")
-
-
-def by_block(rows: DataFrame, work: Callable[[dict], Iterator[dict]], schema: str, partitions: int | None = None) -> DataFrame:
-    """Run ``work`` once for every ``(key, lo, hi)`` of ``rows``.
-
-    Rows are hash-partitioned and sorted on the key, and streamed through Arrow; a
-    worker holds one tile pair at a time. ``work`` gets columns as numpy arrays
-    (vectors as a matrix) and yields columns.
-    """
-    names = rows.columns
-    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    types = [part.split() for part in schema.split(", ")]
-    arrow = pa.schema([(name, {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}[kind]) for name, kind in types])
-
-    def columns(table: pa.Table) -> dict:
-        out = {}
-        for name in names:
-            column = table.column(name).combine_chunks()
-            if isinstance(column, pa.ChunkedArray):
-                column = column.chunk(0) if column.num_chunks else pa.array([], column.type)
-            out[name] = vectors(column) if pa.types.is_list(column.type) else column.to_numpy(zero_copy_only=False)
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if parts and sum(p.num_rows for p in parts) > 1:
-                for cols in work(columns(pa.Table.from_batches(parts))):
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in arrow], schema=arrow)
-
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "lo", "hi")]
-            change = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
-            cuts = [0, *change.tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
-                now = tuple(int(x[a]) for x in ids)
-                if now != last:
-                    yield from done(held)
-                    held, last = [], now
-                held.append(batch.slice(a, b - a))
-        yield from done(held)
-
-    return placed.mapInArrow(run, schema)
-
-
-def hot_keys(keys: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``(key, n)`` of the keys with more than ``block`` rows; partial counts before the shuffle."""
-    return keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
-
-
-def sides(cols: dict) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Row numbers of the two tiles of a pair, and whether they are the same tile."""
-    if cols["lo"][0] == cols["hi"][0]:
-        every = np.arange(len(cols["tile"]))
-        return every, every, True
-    return np.flatnonzero(cols["tile"] == cols["lo"]), np.flatnonzero(cols["tile"] == cols["hi"]), False
