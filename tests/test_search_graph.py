@@ -76,6 +76,9 @@ def test_tiles_of_queries_give_the_same(spark, cloud, metric, monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 64)
     tiles = {tuple(r) for r in search.knn_batch(points, queries, 4, metric, exclude_self=True).collect()}
     assert {r[:2] for r in tiles} == {r[:2] for r in whole} and len(tiles) == 1200
+    halves = points.withColumn("half", F.col("id") % 2)
+    grouped = search.knn_batch(halves, halves.select(F.col("id").alias("qid"), F.col("vector").alias("query"), "half"), 4, metric, exclude_self=True, group="half").collect()
+    assert len(grouped) == 1200 and all((r.qid - r.id) % 2 == 0 for r in grouped)
 
 
 def test_plans(spark, six, tmp_path):

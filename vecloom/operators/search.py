@@ -82,9 +82,11 @@ def knn_segments(points: DataFrame, q: list[float], k: int, segment: str, metric
     return each.select(id, segment, "score").orderBy(*best_first(metric), id).limit(max(k, 0))
 
 
-def knn_batch(points: DataFrame, queries: DataFrame, k: int, metric: Metric | str = "COSINE", id: str = "id", vector: str = "vector", qid: str = "qid", query: str = "query", exclude_self: bool = False) -> DataFrame:
+def knn_batch(points: DataFrame, queries: DataFrame, k: int, metric: Metric | str = "COSINE", id: str = "id", vector: str = "vector", qid: str = "qid", query: str = "query", exclude_self: bool = False, group: str | None = None) -> DataFrame:
     """``(qid, id, score, rank)``: the ``k`` best points of every query.
 
+    With ``group``, a column of both sides, only points of the query's group count.
+
     Up to ``QUERY_BLOCK`` queries travel to the partitions of the points as a matrix.
     More are cut into tiles like the points, and every pair of tiles is a task; neither
     side is collected. A task returns at most ``k`` rows a query (and ties of the last).
@@ -92,7 +94,9 @@ def knn_batch(points: DataFrame, queries: DataFrame, k: int, metric: Metric | st
     metric = Metric.of(metric)
     total = queries.count()
     id_type, qid_type = points.schema[id].dataType.simpleString(), queries.schema[qid].dataType.simpleString()
-    base, asked = points.select(F.col(id).alias("id"), F.col(vector).alias("vector")), queries.select(F.col(qid).alias("qid"), F.col(query).cast("array<double>").alias("query"))
+    own = F.lit(0).cast("bigint") if group is None else F.xxhash64(group)
+    base = points.select(F.col(id).alias("id"), F.col(vector).alias("vector"), own.alias("grp"))
+    asked = queries.select(F.col(qid).alias("qid"), F.col(query).cast("array<double>").alias("query"), own.alias("grp"))
     if total <= QUERY_BLOCK:
         rows = asked.toArrow().to_pylist()
         found = base.mapInPandas(_block_knn(rows, k, metric, exclude_self), f"qid {qid_type}, id {id_type}, score double") if rows else points.sparkSession.createDataFrame([], f"qid {qid_type}, id {id_type}, score double")
@@ -108,8 +112,8 @@ def _tile_knn(points: DataFrame, queries: DataFrame, total: int, k: int, metric:
     tile = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     filler = lambda kind: F.lit(0).cast(kind)
-    left = points.select(tile("id", p_tiles).alias("hi"), every(q_tiles).alias("lo"), "id", filler(qid_type).alias("qid"), F.col("vector").cast("array<double>").alias("vector"), F.lit(0).alias("asks"))
-    right = queries.select(every(p_tiles).alias("hi"), tile("qid", q_tiles).alias("lo"), filler(id_type).alias("id"), "qid", F.col("query").alias("vector"), F.lit(1).alias("asks"))
+    left = points.select(tile("id", p_tiles).alias("hi"), every(q_tiles).alias("lo"), "id", filler(qid_type).alias("qid"), F.col("vector").cast("array<double>").alias("vector"), F.lit(0).alias("asks"), "grp")
+    right = queries.select(every(p_tiles).alias("hi"), tile("qid", q_tiles).alias("lo"), filler(id_type).alias("id"), "qid", F.col("query").alias("vector"), F.lit(1).alias("asks"), "grp")
     rows = left.unionByName(right).withColumn("key", F.lit(0).cast("bigint"))
 
     def work(cols: dict) -> Iterator[dict]:
@@ -117,13 +121,12 @@ def _tile_knn(points: DataFrame, queries: DataFrame, total: int, k: int, metric:
         if not asks.any() or asks.all():
             return
         at, to = np.flatnonzero(asks), np.flatnonzero(~asks)
-        best = _best_rows(cols["vector"][at], cols["vector"][to], cols["qid"][at], cols["id"][to], k, metric, exclude_self)
-        yield from best
+        yield from _best_rows(cols["vector"][at], cols["vector"][to], cols["qid"][at], cols["id"][to], cols["grp"][at], cols["grp"][to], k, metric, exclude_self)
 
     return by_block(rows, work, f"qid {qid_type}, id {id_type}, score double")
 
 
-def _best_rows(q: np.ndarray, x: np.ndarray, qids: np.ndarray, ids: np.ndarray, k: int, metric: Metric, exclude_self: bool) -> Iterator[dict]:
+def _best_rows(q: np.ndarray, x: np.ndarray, qids: np.ndarray, ids: np.ndarray, q_group: np.ndarray, x_group: np.ndarray, k: int, metric: Metric, exclude_self: bool) -> Iterator[dict]:
     """The ``k`` best rows of ``x`` for each row of ``q``, with the ties of the last."""
     if k <= 0 or not len(x):
         return
@@ -141,6 +144,7 @@ def _best_rows(q: np.ndarray, x: np.ndarray, qids: np.ndarray, ids: np.ndarray,
             good = -score
         if exclude_self:
             good = np.where(qids[s : s + 512, None] == ids[None, :], -np.inf, good)
+        good = np.where(q_group[s : s + 512, None] == x_group[None, :], good, -np.inf)
         take = min(k, good.shape[1])
         # a small margin keeps ties of the last place for the exact ranking above
         edge = np.partition(good, good.shape[1] - take, axis=1)[:, good.shape[1] - take]
@@ -151,11 +155,12 @@ def _best_rows(q: np.ndarray, x: np.ndarray, qids: np.ndarray, ids: np.ndarray,
 def _block_knn(rows: list[dict], k: int, metric: Metric, exclude_self: bool):
     ids = np.array([r["qid"] for r in rows], dtype=object)
     q = np.array([r["query"] for r in rows], dtype=np.float64)
+    groups = np.array([r["grp"] for r in rows], dtype=np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                for best in _best_rows(q, np.stack(batch["vector"].to_numpy()), ids, batch["id"].to_numpy(), k, metric, exclude_self):
+                for best in _best_rows(q, np.stack(batch["vector"].to_numpy()), ids, batch["id"].to_numpy(), groups, batch["grp"].to_numpy(), k, metric, exclude_self):
                     yield pd.DataFrame(best)
 
     return run
