@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from vecloom.llm.density import DensityPeaks, learn_pivots
-from vecloom.llm.mih import learn_rotations, neighbours, similar_pairs, table_plan
+from vecloom.llm.mih import learn_rotations, measured_recall, neighbours, similar_pairs, table_plan
 from vecloom.llm.vectors import valid_points
 
 SCHEMA = "collection_name string, id string, vector array<float>, payload string, version bigint, segment_id int, pid string, key int, weight string"
@@ -91,6 +91,12 @@ def test_nothing_and_one(spark, rows):
     assert [tuple(r) for r in similar_pairs(frame(spark, [["c", "B", [1.0] * 64, None], ["c", "a", [2.0] * 64, None]])).collect()] == [("c", "B", "a")]
 
 
+def test_measured_recall(spark, rows):
+    got = measured_recall(frame(spark, rows), every=3).collect()
+    assert {r.collection_name for r in got} == {"a", "b"}
+    assert sum(r.exact for r in got) > 20 and all(r.recall is None or r.recall >= 0.9 for r in got)
+
+
 def test_plan_of_tables():
     for n in (10, 10_000, 10_000_000):
         bits, tables = table_plan(n, 0.95)

@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.blocks import BLOCK, by_block, hot_keys, sides, tiled, vectors
+from ..operators.search import knn_batch
 from ..runtime import materialize, spread
-from .vectors import DIM, Classes, unit
+from .vectors import DIM, Classes, unit, valid_points
 
 #: Probability that a pair just at the threshold meets in no bucket.
 MISS = 5e-4
@@ -132,7 +133,7 @@ def _members(classes: Classes, found: DataFrame, k: int) -> DataFrame:
     own = classes.reps.where("weight > 1").select("pid", F.col("pid").alias("other"), F.lit(1.0).alias("cosine"))
     links = top.unionByName(own)
     me = classes.members.select("pid", "collection_name", "id")
-    them = classes.members.where(F.col("place") <= k + 1).select(F.col("pid").alias("other"), F.col("id").alias("other_id"))
+    them = classes.first_members(k + 1).select(F.col("pid").alias("other"), F.col("id").alias("other_id"))
     full = links.join(me, "pid").join(them, "other").where("id <> other_id")
     rank = F.row_number().over(Window.partitionBy("collection_name", "id").orderBy(F.desc("cosine"), "other_id"))
     return full.withColumn("rank", rank).where(F.col("rank") <= k).select("collection_name", "id", F.col("other_id").alias("other"), "cosine", "rank")
@@ -142,3 +143,21 @@ def similar_pairs(points: DataFrame, k: int = 5, least: float = 0.95, **options)
     """``(collection_name, id_a, id_b)``: pairs where either is among the ``k`` best of the other."""
     n = neighbours(points, k, least, **options)
     return n.select("collection_name", F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
+def measured_recall(points: DataFrame, k: int = 5, least: float = 0.95, every: int = 50, **options) -> DataFrame:
+    """``(collection_name, queries, exact, found, recall)``: the index against brute force.
+
+    Queries are the points whose id hashes to a multiple of ``every``; each is compared
+    with all points of its collection, in blocks. ``recall`` is null without neighbours.
+    """
+    name = F.concat_ws("\x00", "collection_name", "id").alias("name")
+    valid = materialize(valid_points(points, options.get("dim", DIM)).select(name, "collection_name", "vector"), "recall-points")
+    asked = valid.where(F.pmod(F.xxhash64("name"), F.lit(every)) == 0)
+    queries = asked.select(F.col("name").alias("qid"), F.col("vector").alias("query"), "collection_name")
+    exact = knn_batch(valid, queries, k, "COSINE", id="name", exclude_self=True, group="collection_name").where(F.col("score") >= least)
+    index = neighbours(points, k, least, **options).select(F.concat_ws("\x00", "collection_name", "id").alias("qid"), F.concat_ws("\x00", "collection_name", "other").alias("id"), F.lit(1).alias("hit"))
+    met = exact.select("qid", "id").join(index, ["qid", "id"], "left").groupBy("qid").agg(F.count("*").alias("exact"), F.count("hit").alias("found"))
+    joined = queries.select("qid", "collection_name").join(met, "qid", "left")
+    sums = joined.groupBy("collection_name").agg(F.count("*").alias("queries"), F.coalesce(F.sum("exact"), F.lit(0)).alias("exact"), F.coalesce(F.sum("found"), F.lit(0)).alias("found"))
+    return sums.withColumn("recall", F.col("found") / F.nullif(F.col("exact"), F.lit(0)))

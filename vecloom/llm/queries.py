@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..runtime import table
 from .density import DensityPeaks
 from .leak import leaks
-from .mih import neighbours, similar_pairs
+from .mih import measured_recall, neighbours, similar_pairs
 from .spans import SharedSpans
 from .tokenize import decode, encode
 
@@ -23,6 +23,11 @@ def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(table(spark, sf_dir, "points"), k=5, least=0.95).select("collection_name", "id", "other", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def p2_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index against brute force, for one point in 50 as a query."""
+    return measured_recall(table(spark, sf_dir, "points"), k=5, least=0.95)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each point in a cluster of at least 5 points linked at cosine 0.80."""
     return DensityPeaks(table(spark, sf_dir, "points")).labels().select("collection_name", "id", "cluster_id")
@@ -67,7 +72,7 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(table(spark, sf_dir, "documents")).coverage().withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_clusters, p6_ids, p6_decoded, p7_found, p7_items, p8_found, p8_coverage)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p2_recall, p3_found, p3_clusters, p6_ids, p6_decoded, p7_found, p7_items, p8_found, p8_coverage)}
 
 _VALID = """
         WITH RECURSIVE valid AS (

@@ -120,8 +120,10 @@ class SharedSpans:
         self.span, self.shingle = span, shingle
         rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") >= span)
         digest = F.sha2(F.col("text"), 256)
+        rows_of_text = rows.select("key", digest.alias("digest")).distinct()
         #: One row a record: its class is the smallest key with the same text.
-        self.members = materialize(rows.select("key", digest.alias("digest")).distinct().withColumn("rep", F.min("key").over(_by("digest"))).select("key", "rep"), "span-members")
+        reps = rows_of_text.groupBy("digest").agg(F.min("key").alias("rep"))
+        self.members = materialize(rows_of_text.join(reps, "digest").select("key", "rep"), "span-members")
         self.rows = rows
 
     def _texts(self) -> DataFrame:

@@ -30,17 +30,21 @@ def valid_points(points: DataFrame, dim: int = DIM) -> DataFrame:
 
 
 class Classes:
-    """``reps``: ``(pid, collection_name, vector, weight)``; ``members``: ``(pid, collection_name, id, place)``."""
+    """``reps``: ``(pid, collection_name, vector, weight)``; ``members``: ``(pid, collection_name, id)``."""
 
     def __init__(self, points: DataFrame, dim: int = DIM):
         valid = valid_points(points, dim)
         one = valid.groupBy("collection_name", "vector").agg(F.min("id").alias("first"), F.count("*").alias("weight"))
         self.reps = materialize(one.withColumn("pid", F.monotonically_increasing_id()), "vector-classes")
-        alone = self.reps.where("weight = 1").select("pid", "collection_name", F.col("first").alias("id"), F.lit(1).alias("place"))
+        alone = self.reps.where("weight = 1").select("pid", "collection_name", F.col("first").alias("id"))
         many = self.reps.where("weight > 1")
         shared = valid.join(many.select("pid", "collection_name", "vector"), ["collection_name", "vector"]).select("pid", "collection_name", "id")
-        ranked = shared.withColumn("place", F.row_number().over(Window.partitionBy("pid").orderBy("id")))
-        self.members = materialize(alone.unionByName(ranked), "vector-members")
+        self.members = materialize(alone.unionByName(shared), "vector-members")
+
+    def first_members(self, count: int) -> DataFrame:
+        """``(pid, id)`` of the ``count`` smallest ids of each class; the limit applies before the shuffle."""
+        place = F.row_number().over(Window.partitionBy("pid").orderBy("id"))
+        return self.members.select("pid", "id").withColumn("place", place).where(F.col("place") <= count).drop("place")
 
     def sample(self, rows: int = SAMPLE_ROWS) -> np.ndarray:
         """Unit vectors of at most ``rows`` classes, the same rows for the same table."""
