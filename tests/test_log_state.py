@@ -65,6 +65,8 @@ def test_log_ranges(spark):
     assert [wal.bounds(wal.truncate_suffix(log, n)).first().last_lsn for n in (4, 3)] == [3, 2]
     holes = wal.gaps(log.where("lsn not in (3, 4, 7)"), records=3)
     assert sorted(map(tuple, holes.collect())) == [(2, 5), (6, 8)]
+    for records in (1, 2, 4, 100):
+        assert sorted(map(tuple, wal.gaps(log.where("lsn not in (3, 4, 5, 6, 8)"), records=records).collect())) == [(2, 7), (7, 9)]
     marked = log.withColumn("_corrupt_record", F.when(F.col("lsn") == 1, "x"))
     assert sorted(r.lsn for r in wal.valid_prefix(marked, records=5).collect()) == [0, 5, 6, 7, 8, 9]
 

@@ -43,15 +43,22 @@ def truncate_prefix(log: DataFrame, until: int, lsn: str = "lsn", records: int =
 def gaps(log: DataFrame, lsn: str = "lsn", records: int = SEGMENT_RECORDS) -> DataFrame:
     """``(after_lsn, next_lsn)`` where numbers are missing or repeat.
 
-    Neighbours are compared inside segments in parallel, and the ends of segments
-    among themselves, which is one row a segment.
+    Neighbours are compared inside segments, and the end of a segment with the start
+    of the following one by a join. Only segments that border a run of missing ones
+    are ordered among themselves.
     """
     inside = Window.partitionBy("seg").orderBy(lsn)
     rows = log.select(lsn, segment_of(lsn, records).alias("seg"))
     within = rows.withColumn("next_lsn", F.lead(lsn).over(inside)).select(F.col(lsn).alias("after_lsn"), "next_lsn")
     ends = rows.groupBy("seg").agg(F.min(lsn).alias("lo"), F.max(lsn).alias("hi"))
-    between = ends.withColumn("next_lsn", F.lead("lo").over(Window.partitionBy(F.lit(0)).orderBy("seg"))).select(F.col("hi").alias("after_lsn"), "next_lsn")
-    return within.unionByName(between).where(F.col("next_lsn") != F.col("after_lsn") + 1)
+    following = ends.select((F.col("seg") - 1).alias("seg"), F.col("lo").alias("next_lsn"))
+    joined = ends.join(following, "seg", "left")
+    between = joined.select(F.col("hi").alias("after_lsn"), "next_lsn")
+    tails = joined.where("next_lsn is null").select(F.col("hi").alias("after_lsn"), F.lit(True).alias("tail"))
+    heads = ends.join(ends.select((F.col("seg") + 1).alias("seg")), "seg", "left_anti").select(F.col("lo").alias("after_lsn"), F.lit(False).alias("tail"))
+    border = tails.unionByName(heads).withColumn("next_lsn", F.lead("after_lsn").over(Window.partitionBy(F.lit(0)).orderBy("after_lsn", "tail")))
+    across = border.where("tail and next_lsn is not null").select("after_lsn", "next_lsn")
+    return within.unionByName(between).unionByName(across).where(F.col("next_lsn") != F.col("after_lsn") + 1)
 
 
 def valid_prefix(log: DataFrame, corrupt: str = "_corrupt_record", lsn: str = "lsn", records: int = SEGMENT_RECORDS) -> DataFrame:
