@@ -46,6 +46,17 @@ def test_every_wrapping_gives_the_same_objects(spark):
     assert got == {i: EXPECTED for i in range(4)}
 
 
+def test_payload_as_json_text(spark):
+    wrapped = {k: wrap(v) for k, v in PAYLOAD.items()}
+    forms = [json.dumps(p) for p in ({"fields": PAYLOAD}, {"fields": wrapped}, PAYLOAD)]
+    points = [*({"id": "p", "payload": f} for f in forms), {"payload": {"stringValue": forms[0]}}, {"metadata": forms[2]}]
+    broken = [{"payload": t} for t in ("", "s", "null", "[1]", "7", forms[0] + "x", '{"owners":[{"x":NaN}]}', "[" * 5000, json.dumps(forms[0]))]
+    nodes = sh.shred(frame(spark, [json.dumps({"points": points + broken})])).cache()
+    assert sorted((r.point_pos, r.child_path, r.positions) for r in sh.list_objects(nodes).collect()) == sorted((i, *e[1:]) for i in range(5) for e in EXPECTED)
+    table = {r.point_pos: r for r in sh.entity_table(nodes, "", ("#id", "title", "shelf.bay.code")).collect()}
+    assert (table[0].id, table[0].title, table[0].shelf_bay_code) == ("p", "t", "B") and table[5].title is None
+
+
 def test_entity_tables_link_to_parents(spark):
     nodes = sh.shred(frame(spark, list(bodies())[:1])).cache()
     scans = {r.positions: r for r in sh.entity_table(nodes, "scans").collect()}

@@ -8,7 +8,8 @@ tables come from joining object nodes with their scalar children and pivoting
 the field names into columns.
 
 Writers wrap differently; wrapping leaves no trace: ``fields``, ``structValue``,
-``listValue.values`` and the typed scalar wrappers are looked through.
+``listValue.values``, the typed scalar wrappers and a payload written as JSON text
+are looked through.
 
 Defined cases. Of several deliveries of one request the earliest with a body
 counts. A body that is null, empty or no whole JSON gives no nodes (its request
@@ -51,6 +52,14 @@ def _refuse(name: str):
     raise ValueError(name)
 
 
+def _whole_json(text):
+    """The value of a text that is whole JSON, else None."""
+    try:
+        return json.loads(text, parse_constant=_refuse)
+    except (TypeError, ValueError, RecursionError):
+        return None
+
+
 def unwrap(value):
     """The value inside a writer's wrapper; other values are returned as they are."""
     while isinstance(value, dict) and len(value) == 1:
@@ -88,6 +97,8 @@ def payload_of(point: dict):
     payload = point.get("payload")
     payload = point.get("metadata") if payload is None else payload
     payload = unwrap(payload)
+    if isinstance(payload, str):
+        payload = unwrap(_whole_json(payload))
     if isinstance(payload, dict) and len(payload) == 1 and isinstance(payload.get("fields"), dict):
         payload = payload["fields"]
     return payload
