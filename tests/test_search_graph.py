@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +116,34 @@ def test_cell_index_recall(spark, cloud):
     assert [r.id for r in index.search(q, 10, 8).collect()] == [r.id for r in exact.where(f"qid = {queries.first().qid}").orderBy("rank").collect()]
 
 
+@pytest.mark.parametrize("metric", ["COSINE", "L2"])
+def test_recall_without_clusters(spark, metric):
+    x = np.random.default_rng(5).standard_normal((1000, 64)).astype(np.float32)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, vector array<float>").cache()
+    queries = points.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("query"))
+    exact = search.knn_batch(points, queries, 10, metric).cache()
+    index = graph.CellIndex(points, metric=metric)
+    found = index.search_batch(queries, 10, nprobe=16).cache()
+    assert found.select("qid", "id").distinct().count() == found.count() == 200
+    assert graph.recall(exact, found).first().recall >= 0.9
+    one = [r.id for r in index.search([float(v) for v in x[0]], 10, 16).collect()]
+    assert one == [r.id for r in found.where("qid = 0").orderBy("rank").collect()]
+
+
+def test_recall_on_the_large_table(spark):
+    from vecloom.plans import vector_store
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.exists(folder):
+        pytest.skip("no test data")
+    assert vector_store.ivf_recall(spark, folder).first().recall >= 0.9
+    points = vector_store._points(spark, folder).cache()
+    queries = vector_store._queries(spark, folder).where("qid < 500").cache()
+    found = [(q.qid, r.vec_id) for q in queries.collect() for r in graph.lsh_knn(points, list(q["query"]), 10, id="vec_id").collect()]
+    exact = search.knn_batch(points, queries, 10, "L2", id="vec_id")
+    assert graph.recall(exact, spark.createDataFrame(found, "qid bigint, id bigint")).first().recall >= 0.9
+
+
 def test_enrich_and_highlight(spark, six):
     hits = search.knn(six, [0.1, 0.1], 2)
     with_version = six.withColumn("version", F.lit(3).cast("bigint"))

@@ -45,13 +45,17 @@ def level_draw(u: Column, ml: float = 1 / math.log(16)) -> Column:
 
 
 class CellIndex:
-    """Approximate search by cells: k-means centres fitted on a sample, every row in its cell.
+    """Approximate search by cells: k-means centres fitted on a sample, every row in its cells.
+
+    A row stands in its ``copies`` nearest cells, so a neighbour beyond a border is
+    found from either side; ``homes`` names them, nearest first, and a query that looks
+    into several of them takes the row once, in the first.
 
     A query looks into its ``nprobe`` nearest cells; the scan reads only those, as
     the index is written partitioned by cell. Recall is measured, not assumed.
     """
 
-    def __init__(self, points: DataFrame, cells: int = 32, metric: Metric | str = "COSINE", id: str = "id", vector: str = "vector", sample_rows: int = 8192, seed: int = 42):
+    def __init__(self, points: DataFrame, cells: int = 32, metric: Metric | str = "COSINE", id: str = "id", vector: str = "vector", sample_rows: int = 8192, seed: int = 42, copies: int = 2):
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
@@ -60,7 +64,18 @@ class CellIndex:
         sample = points.orderBy(F.xxhash64(id), id).limit(sample_rows).select(features.alias("features"))
         model = KMeans(k=cells, seed=seed, maxIter=20, distanceMeasure="cosine" if self.metric is Metric.COSINE else "euclidean").fit(sample)
         self.centres = [c.tolist() for c in model.clusterCenters()]
-        self.indexed = model.setFeaturesCol("features").setPredictionCol("cell").transform(points.withColumn("features", features)).drop("features")
+        self.indexed = points.withColumn("homes", self._nearest(F.col(vector), copies)).withColumn("cell", F.explode("homes"))
+
+    def _nearest(self, vector: Column, n: int) -> Column:
+        """The ``n`` cells nearest to a vector, nearest first."""
+        centres = F.array(*[F.struct(score(self.metric, vector, query_vector(c)).alias("s"), F.lit(i).alias("cell")) for i, c in enumerate(self.centres)])
+        order = F.sort_array(centres, asc=self.metric is not Metric.COSINE)
+        return F.transform(F.slice(order, 1, n), lambda s: s["cell"])
+
+    @staticmethod
+    def _once(probed: Column) -> Column:
+        """Whether ``cell`` is the first of the row's cells that the query looks into."""
+        return F.col("cell") == F.filter("homes", lambda c: F.array_contains(probed, c))[0]
 
     def search(self, q: list[float], k: int, nprobe: int = 8) -> DataFrame:
         c, x = np.array(self.centres), np.array(q)
@@ -68,15 +83,14 @@ class CellIndex:
             near = np.argsort(-(c @ x) / np.maximum(np.linalg.norm(c, axis=1) * max(np.linalg.norm(x), 1e-300), 1e-300))
         else:
             near = np.argsort(((c - x) ** 2).sum(axis=1))
-        rows = self.indexed.where(F.col("cell").isin([int(i) for i in near[:nprobe]]))
+        probed = [int(i) for i in near[:nprobe]]
+        rows = self.indexed.where(F.col("cell").isin(probed)).where(self._once(F.array(*map(F.lit, probed)).cast("array<int>")))
         return rows.select(self.id, score(self.metric, F.col(self.vector), query_vector(q)).alias("score")).orderBy(*best_first(self.metric), self.id).limit(k)
 
     def search_batch(self, queries: DataFrame, k: int, nprobe: int = 8) -> DataFrame:
         """``(qid, id, score, rank)`` for queries ``(qid, query)``: queries meet points cell by cell."""
-        centres = F.array(*[F.struct(score(self.metric, F.col("query"), query_vector(c)).alias("s"), F.lit(i).alias("cell")) for i, c in enumerate(self.centres)])
-        order = F.sort_array(centres, asc=self.metric is not Metric.COSINE)
-        probes = queries.withColumn("cell", F.explode(F.transform(F.slice(order, 1, nprobe), lambda s: s["cell"])))
-        pairs = self.indexed.select(F.col(self.id).alias("id"), F.col(self.vector).alias("vector"), "cell").join(probes, "cell")
+        probes = queries.withColumn("probed", self._nearest(F.col("query"), nprobe)).withColumn("cell", F.explode("probed"))
+        pairs = self.indexed.select(F.col(self.id).alias("id"), F.col(self.vector).alias("vector"), "homes", "cell").join(probes, "cell").where(self._once(F.col("probed")))
         rank = F.row_number().over(Window.partitionBy("qid").orderBy(*best_first(self.metric), "id"))
         return pairs.select("qid", "id", score(self.metric, F.col("vector"), F.col("query")).alias("score")).withColumn("rank", rank).where(F.col("rank") <= k)
 
