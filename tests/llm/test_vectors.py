@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from vecloom.llm.density import DensityPeaks, learn_pivots
-from vecloom.llm.mih import learn_rotations, measured_recall, neighbours, similar_pairs, table_plan
+from vecloom.llm.mih import _codes, centred_flips, learn_rotations, measured_recall, neighbours, similar_pairs, table_plan
 from vecloom.llm.vectors import valid_points
 
 SCHEMA = "collection_name string, id string, vector array<float>, payload string, version bigint, segment_id int, pid string, key int, weight string"
@@ -149,3 +149,24 @@ def test_pivots():
     x = np.random.default_rng(0).standard_normal((50, 64))
     assert len(learn_pivots(x / np.linalg.norm(x, axis=1)[:, None])) == 0
     assert len(learn_pivots(np.tile(x[:1] / np.linalg.norm(x[0]), (10, 1)))) == 1
+
+
+def test_tables_follow_the_flips_of_centred_vectors():
+    rng = np.random.default_rng(4)
+    to_unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    spread, cone = to_unit(rng.standard_normal((2000, 64))), to_unit(rng.standard_normal((2000, 64)) + 1.35)
+    assert 0.6 < (cone @ cone.T).mean() < 0.7
+    assert table_plan(20_000, 0.95, flips=centred_flips(spread, 0.95))[1] <= table_plan(20_000, 0.95)[1] + 3
+    bits, tables = table_plan(20_000, 0.95, flips=centred_flips(cone, 0.95))
+    away = rng.standard_normal(cone.shape)
+    away = to_unit(away - (away * cone).sum(axis=1, keepdims=True) * cone)
+    near = 0.95 * cone + np.sqrt(1 - 0.95**2) * away
+
+    def missed(tables):
+        mean, rotations = learn_rotations(cone, -(-tables // (64 // bits)))
+        code = _codes(mean, rotations, bits, tables, 64)
+        return 1 - (code(cone) == code(near)).any(axis=1).mean()
+
+    assert missed(table_plan(20_000, 0.95)[1]) > 0.005
+    assert missed(tables) <= 0.0015
+    assert table_plan(10**6, 0.95, flips=np.full(9, 0.5))[0] < table_plan(10**6, 0.95)[0]

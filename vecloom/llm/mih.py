@@ -7,12 +7,14 @@
   in the bucket of each of its ``tables`` substrings. By the pigeonhole principle
   codes that differ in fewer than ``tables`` bits meet in some bucket with
   certainty; vectors at the similarity asked for, whose bits flip independently
-  with probability ``angle / pi`` at most, meet with probability ``1 - MISS``.
+  with probability ``angle / pi``, meet with probability ``1 - MISS``. The angle is
+  that of the centred vectors, which is wide where the rows stand in a narrow cone;
+  it is measured on sampled rows and vectors at the threshold from them.
 * Rerank: the rows of a bucket are compared by their vectors, in blocks; each
   keeps its ``k`` best of the bucket. No candidate pairs are written.
 
 ``bits`` follows the logarithm of the largest collection, so buckets keep their
-size as tables grow; ``tables`` follows from ``bits`` and ``MISS``. Every row is
+size as tables grow; ``tables`` follows from ``bits``, the flips and ``MISS``. Every row is
 indexed and every row is a query. Copies of one vector count with all members;
 among equal similarities smaller ids come first.
 """
@@ -32,8 +34,10 @@ from ..operators.search import knn_batch
 from ..runtime import materialize, spread
 from .vectors import DIM, Classes, unit, valid_points
 
-#: Probability that a pair just at the threshold meets in no bucket.
+#: Probability that a pair just at the threshold meets in no bucket, over the sampled rows.
 MISS = 5e-4
+#: Tables above which substrings are shortened.
+MOST_TABLES = 256
 _ROUNDS = 30
 
 
@@ -50,11 +54,37 @@ def learn_rotations(sample: np.ndarray, count: int, dim: int = DIM, seed: int =
     return mean, np.stack(out)
 
 
-def table_plan(rows: int, least: float, dim: int = DIM, miss: float = MISS) -> tuple[int, int]:
-    """``(bits, tables)`` for the largest collection's rows and the least similarity."""
+def centred_flips(sample: np.ndarray, least: float, seed: int = 42) -> np.ndarray:
+    """Share of bits in which each sampled row differs from a vector at cosine ``least``, both centred."""
+    away = np.random.default_rng(seed).standard_normal(sample.shape)
+    away -= (away * sample).sum(axis=1, keepdims=True) * sample
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    mean = sample.mean(axis=0)
+    a, b = sample - mean, least * sample + math.sqrt(1 - least * least) * away - mean
+    scale = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+    cosine = np.divide((a * b).sum(axis=1), scale, out=np.zeros(len(a)), where=scale > 0)
+    return np.arccos(np.clip(cosine, -1, 1)) / math.pi
+
+
+def table_plan(rows: int, least: float, dim: int = DIM, miss: float = MISS, flips: np.ndarray | None = None) -> tuple[int, int]:
+    """``(bits, tables)`` for the largest collection's rows and the least similarity.
+
+    ``flips`` are measured rates; without them those of vectors that are not centred count.
+    """
     bits = min(20, max(6, round(math.log2(max(rows, 2))) - 5))
     meet = (1 - math.acos(least) / math.pi) ** bits
-    return bits, math.ceil(math.log(miss) / math.log(1 - meet))
+    tables = math.ceil(math.log(miss) / math.log(1 - meet))
+    if flips is not None and len(flips):
+        lost = lambda: (((1 - (1 - flips) ** bits) ** tables).mean()) > miss
+        least_tables = tables
+        while lost():
+            tables += 1
+            # wide angles: larger buckets instead of ever more tables
+            if tables > MOST_TABLES and bits > 1:
+                bits, tables = bits - 1, least_tables
+            elif tables > MOST_TABLES:
+                break
+    return bits, tables
 
 
 def _codes(mean: np.ndarray, rotations: np.ndarray, bits: int, tables: int, dim: int):
@@ -79,8 +109,10 @@ def neighbours(points: DataFrame, k: int = 5, least: float = 0.95, dim: int = DI
     classes = Classes(points, dim)
     reps = classes.reps
     largest = reps.groupBy("collection_name").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    bits, tables = table_plan(largest, least, dim, miss)
-    mean, rotations = learn_rotations(classes.sample(), math.ceil(tables / (dim // bits)), dim)
+    sample = classes.sample()
+    # few rows say little about angles, and their mean may be one of them
+    bits, tables = table_plan(largest, least, dim, miss, centred_flips(sample, least) if len(sample) >= dim else None)
+    mean, rotations = learn_rotations(sample, math.ceil(tables / (dim // bits)), dim)
     coder = _codes(mean, rotations, bits, tables, dim)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
