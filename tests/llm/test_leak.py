@@ -68,3 +68,11 @@ def test_leaks(spark):
     assert leaks(frame, item_frame.limit(0)).count() == 0
     long = [(1, " ".join(filler(60_000) + items[0][1]))]
     assert [(r.doc, r.item) for r in leaks(spark.createDataFrame(long, "doc_id bigint, text string"), item_frame).collect()] == [(1, 0)]
+
+
+def test_items_with_several_passages(spark):
+    a, b = passage(201, 20), passage(202, 25)
+    docs = spark.createDataFrame([(1, "xx " + " ".join(a)), (2, "yy " + " ".join(b)), (3, "zz " + " ".join(a[:10] + b[:10]))], "doc_id bigint, text string")
+    for order in ([a, b], [b, a]):
+        items = spark.createDataFrame([(7, " ".join(w)) for w in order], "item_id bigint, passage string")
+        assert sorted((r.doc, r.item) for r in leaks(docs, items).collect()) == [(1, 7), (2, 7)]

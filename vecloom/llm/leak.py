@@ -18,8 +18,8 @@ The items are the small side: they are read in slices of ``ITEM_SLICE``, each
 checked in size by construction, and only a slice travels to the workers.
 
 Defined cases: null and empty texts or passages match nothing, nor do passages
-of fewer than ``min_words`` words; repeated rows give one result; other columns
-are not read.
+of fewer than ``min_words`` words; repeated rows give one result; an item with
+several passages is leaked by any of them; other columns are not read.
 """
 
 from __future__ import annotations
@@ -127,7 +127,9 @@ def _leaks_of(spark, docs: DataFrame, rows: list[tuple], key_type: str, item_typ
         .groupBy("doc")
         .agg(F.collect_set("item").alias("items"))
     )
-    passages = dict(rows)
+    passages: dict[object, list] = {}
+    for item, words in rows:
+        passages.setdefault(item, []).append(words)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +137,7 @@ def _leaks_of(spark, docs: DataFrame, rows: list[tuple], key_type: str, item_typ
             for row, (page_text, wanted_items) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 page = Page(page_text)
                 for item in wanted_items:
-                    run = longest_run(page, passages[item], enough=min_words)
+                    run = max(longest_run(page, words, enough=min_words) for words in passages[item])
                     if run >= min_words:
                         at.append(row)
                         found.append(item)
