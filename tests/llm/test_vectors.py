@@ -156,8 +156,8 @@ def test_tables_follow_the_flips_of_centred_vectors():
     to_unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     spread, cone = to_unit(rng.standard_normal((2000, 64))), to_unit(rng.standard_normal((2000, 64)) + 1.35)
     assert 0.6 < (cone @ cone.T).mean() < 0.7
-    assert table_plan(20_000, 0.95, flips=centred_flips(spread, 0.95))[1] <= table_plan(20_000, 0.95)[1] + 3
-    bits, tables = table_plan(20_000, 0.95, flips=centred_flips(cone, 0.95))
+    assert table_plan(160_000, 0.95, flips=centred_flips(spread, 0.95))[1] <= table_plan(160_000, 0.95)[1] + 3
+    bits, tables = table_plan(160_000, 0.95, flips=centred_flips(cone, 0.95))
     away = rng.standard_normal(cone.shape)
     away = to_unit(away - (away * cone).sum(axis=1, keepdims=True) * cone)
     near = 0.95 * cone + np.sqrt(1 - 0.95**2) * away
@@ -167,6 +167,6 @@ def test_tables_follow_the_flips_of_centred_vectors():
         code = _codes(mean, rotations, bits, tables, 64)
         return 1 - (code(cone) == code(near)).any(axis=1).mean()
 
-    assert missed(table_plan(20_000, 0.95)[1]) > 0.005
+    assert missed(table_plan(160_000, 0.95)[1]) > 0.005
     assert missed(tables) <= 0.0015
     assert table_plan(10**6, 0.95, flips=np.full(9, 0.5))[0] < table_plan(10**6, 0.95)[0]

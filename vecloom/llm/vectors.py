@@ -30,16 +30,22 @@ def valid_points(points: DataFrame, dim: int = DIM) -> DataFrame:
 
 
 class Classes:
-    """``reps``: ``(pid, collection_name, vector, weight)``; ``members``: ``(pid, collection_name, id)``."""
+    """``reps``: ``(pid, collection_name, vector, weight)``; ``members``: ``(pid, collection_name, id)``.
+
+    Equal vectors are found by two independent hashes of 64 bits, so that grouping moves
+    and sorts no vectors; the class carries the row number of one of its members.
+    """
 
     def __init__(self, points: DataFrame, dim: int = DIM):
-        valid = valid_points(points, dim)
-        one = valid.groupBy("collection_name", "vector").agg(F.min("id").alias("first"), F.count("*").alias("weight"))
-        self.reps = materialize(one.withColumn("pid", F.monotonically_increasing_id()), "vector-classes")
-        alone = self.reps.where("weight = 1").select("pid", "collection_name", F.col("first").alias("id"))
-        many = self.reps.where("weight > 1")
-        shared = valid.join(many.select("pid", "collection_name", "vector"), ["collection_name", "vector"]).select("pid", "collection_name", "id")
-        self.members = materialize(alone.unionByName(shared), "vector-members")
+        hashes = [F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), F.col("vector")).alias("h2")]
+        rows = valid_points(points, dim).select(F.monotonically_increasing_id().alias("row"), "collection_name", "id", "vector", *hashes)
+        rows = materialize(rows, "vector-points")
+        same = ["collection_name", "h1", "h2"]
+        many = rows.groupBy(*same).agg(F.min("row").alias("pid"), F.count("*").alias("weight")).where("weight > 1")
+        joined = rows.join(materialize(many, "vector-copies"), same, "left")
+        pid = F.coalesce("pid", "row")
+        self.reps = joined.where(F.col("row") == pid).select(pid.alias("pid"), "collection_name", "vector", F.coalesce("weight", F.lit(1)).cast("bigint").alias("weight"))
+        self.members = joined.select(pid.alias("pid"), "collection_name", "id")
 
     def first_members(self, count: int) -> DataFrame:
         """``(pid, id)`` of the ``count`` smallest ids of each class; the limit applies before the shuffle."""
@@ -48,7 +54,8 @@ class Classes:
 
     def sample(self, rows: int = SAMPLE_ROWS) -> np.ndarray:
         """Unit vectors of at most ``rows`` classes, the same rows for the same table."""
-        picked = self.reps.orderBy(F.xxhash64("collection_name", "first"), "first").limit(rows).select("vector").toArrow()
+        order = F.xxhash64("collection_name", "vector")
+        picked = self.reps.select("vector", order.alias("place")).orderBy("place").limit(rows).select("vector").toArrow()
         return unit(vectors(picked.column(0).combine_chunks())) if picked.num_rows else np.zeros((0, DIM))
 
 
