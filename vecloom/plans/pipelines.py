@@ -100,7 +100,8 @@ SQL = {
             SELECT request_id, CAST(e.key AS BIGINT) AS point_pos, e.value AS p
             FROM lists, json_each(CASE WHEN json_type(l) = 'ARRAY' THEN l ELSE json_array(l) END) e WHERE json_type(e.value) = 'OBJECT'
         ), payloads AS (
-            SELECT request_id, point_pos, CASE WHEN json_type(p->'payload') = 'OBJECT' THEN p->'payload' ELSE p->'metadata' END AS v FROM points
+            SELECT request_id, point_pos, CASE WHEN json_type(v) <> 'VARCHAR' THEN v WHEN json_valid(v->>'$') THEN CAST(v->>'$' AS JSON) END AS v
+            FROM (SELECT request_id, point_pos, CASE WHEN coalesce(json_type(p->'payload'), 'NULL') <> 'NULL' THEN p->'payload' ELSE p->'metadata' END AS v FROM points)
         ), walk AS (
             SELECT request_id, point_pos, CASE WHEN json_keys(v) = ['fields'] AND json_type(v->'fields') = 'OBJECT' THEN v->'fields' ELSE v END AS v,
                    '' AS path, '' AS positions, FALSE AS element, FALSE AS listed
