@@ -107,7 +107,7 @@ def test_graph(spark, cloud):
 
 def test_cell_index_recall(spark, cloud):
     _, points = cloud
-    index = graph.CellIndex(points.where("id <> 20"), cells=8)
+    index = graph.CellIndex.build(points.where("id <> 20"), cells=8)
     queries = points.where("id % 30 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("query"))
     exact = search.knn_batch(points.where("id <> 20"), queries, 10)
     assert graph.recall(exact, index.search_batch(queries, 10, nprobe=8)).first().recall == 1.0
@@ -122,7 +122,7 @@ def test_recall_without_clusters(spark, metric):
     points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, vector array<float>").cache()
     queries = points.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("query"))
     exact = search.knn_batch(points, queries, 10, metric).cache()
-    index = graph.CellIndex(points, metric=metric)
+    index = graph.CellIndex.build(points, metric=metric)
     found = index.search_batch(queries, 10, nprobe=16).cache()
     assert found.select("qid", "id").distinct().count() == found.count() == 200
     assert graph.recall(exact, found).first().recall >= 0.9
@@ -144,6 +144,39 @@ def test_recall_on_the_large_table(spark):
     assert graph.recall(exact, spark.createDataFrame(found, "qid bigint, id bigint")).first().recall >= 0.9
 
 
+def test_dirty_vectors_come_last_in_every_path(spark, monkeypatch):
+    nan, inf = float("nan"), float("inf")
+    good = np.random.default_rng(2).standard_normal((12, 3)).tolist()
+    rows = [(i, v) for i, v in enumerate(good)] + [(20, [nan, 1.0, 1.0]), (21, [inf, 0.0, 1.0]), (22, None), (23, []), (24, [1.0]), (25, [1.0, None, 0.0]), (26, [0.0, 0.0, 0.0])]
+    points = spark.createDataFrame(rows, "id int, vector array<float>")
+    for metric in ("COSINE", "L2"):
+        for k in (5, 15):
+            one = [(r.id, None if r.score is None else round(r.score, 6)) for r in search.knn(points, good[0], k, metric).collect()]
+            assert len(one) == min(k, 19) and {r[0] for r in one if r[1] is None} <= {20, 21, 22, 23, 24, 25}
+            assert all(s is None for _, s in one[13:]) and [r[0] for r in one[13:]] == sorted(r[0] for r in one[13:])
+            queries = spark.createDataFrame([(i, good[0] if i % 9 else None) for i in range(18)], "qid int, query array<double>")
+            for block in (4096, 4):
+                monkeypatch.setattr(search, "QUERY_BLOCK", block)
+                got = {}
+                for r in search.knn_batch(points, queries, k, metric).orderBy("qid", "rank").collect():
+                    got.setdefault(r.qid, []).append((r.id, None if r.score is None else round(r.score, 6)))
+                assert got[1] == one == got[17]
+                assert got[0] == [(i, None) for i in sorted(r[0] for r in rows)][:k]
+            columns = search.knn_batch_columns(points, queries.where("qid = 1"), k, metric).orderBy("rank").collect()
+            assert [(r.id, None if r.score is None else round(r.score, 6)) for r in columns] == one
+    index = graph.CellIndex.build(points, cells=4)
+    assert [r.id for r in index.search(good[0], 5, 4).collect()] == [r.id for r in search.knn(points, good[0], 5).collect()]
+
+
+def test_beam_search_walks_the_graph(spark):
+    at = [(0, [1.0, 1.0]), (1, [2.0, 2.0]), (2, [1.0, 2.0]), (3, [10.0, 10.0]), (4, [0.0, 0.0])]
+    points = spark.createDataFrame(at, "id int, vector array<float>")
+    edges = graph.knn_graph(points, 4, "L2").cache()
+    assert [n for n, _ in graph.beam_search(edges, points, [0.9, 0.9], 3, 3, "L2")] == [0, 2, 4]
+    assert [n for n, _ in graph.beam_search(edges, points.where("id <> 2"), [0.9, 0.9], 3, 3, "L2")] == [0, 4, 1]
+    assert graph.beam_search(edges, points, [0.9, 0.9], 99, 3, "L2") == []
+
+
 def test_enrich_and_highlight(spark, six):
     hits = search.knn(six, [0.1, 0.1], 2)
     with_version = six.withColumn("version", F.lit(3).cast("bigint"))

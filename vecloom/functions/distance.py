@@ -37,17 +37,25 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(_doubles(a), F.lit(0.0), lambda s, x: s + x * x))
 
 
+def finite(value: Column) -> Column:
+    """``value``, null where it is NaN or infinite: the one rule for scores that compare with nothing."""
+    return F.when(F.abs(value) < float("inf"), value)
+
+
 def cosine(a: Column, b: Column, norm_b: Column | None = None) -> Column:
-    """Similarity in [-1, 1]; 0 where a vector is all zero. Pass ``norm_b`` to compute it once."""
+    """Similarity in [-1, 1]; 0 where a vector is all zero. Pass ``norm_b`` to compute it once.
+
+    Null where the vectors cannot be compared: null, of different lengths, or not finite.
+    """
     product = norm(a) * (norm(b) if norm_b is None else norm_b)
-    ratio = dot(a, b) / F.nullif(product, F.lit(0.0))
-    return F.when(product == 0, F.lit(0.0)).otherwise(F.least(F.greatest(ratio, F.lit(-1.0)), F.lit(1.0)))
+    ratio = finite(F.when(product == 0, dot(a, b)).otherwise(dot(a, b) / F.nullif(product, F.lit(0.0))))
+    return F.when(ratio.isNotNull(), F.least(F.greatest(ratio, F.lit(-1.0)), F.lit(1.0)))
 
 
 def l2(a: Column, b: Column) -> Column:
-    """Euclidean distance (not squared); null if the lengths differ."""
+    """Euclidean distance (not squared); null where the vectors cannot be compared."""
     total = F.aggregate(F.zip_with(_doubles(a), _doubles(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    return F.when(F.size(a) == F.size(b), F.sqrt(total))
+    return finite(F.when(F.size(a) == F.size(b), F.sqrt(total)))
 
 
 def score(metric: Metric | str, a: Column, b: Column) -> Column:

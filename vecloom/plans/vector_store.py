@@ -44,6 +44,11 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
     return e.join(docs, "vec_id", "left").withColumn("payload", payload)
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The same points without payload, for searches that read none."""
+    return table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
+
+
 _PTS = "WITH q AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 0), pts AS (SELECT vec_id, embedding::DOUBLE[] AS v, label, CASE WHEN vec_id % 11 <> 0 THEN 1 END AS has, 'g' || (vec_id % 3) AS tag, CASE WHEN vec_id % 2 = 0 THEN vec_id * 1.0 END AS w FROM embeddings)"
 _COS = "coalesce(nullif(least(greatest(list_cosine_similarity(v, qv), -1), 1), 'nan'::DOUBLE), 0)"
 _L2 = "list_distance(v, qv)"
@@ -60,27 +65,27 @@ def _top(metric: str, k: str, where: str = "TRUE", order: str = "DESC", source:
 
 @query(_top(_COS, "10"))
 def knn_cosine(spark, d):
-    return search.knn(_points(spark, d), _q0(spark, d), 10, "COSINE", id="vec_id").select("vec_id", _six("score"))
+    return search.knn(_vectors(spark, d), _q0(spark, d), 10, "COSINE", id="vec_id").select("vec_id", _six("score"))
 
 
 @query(_top(_L2, "10", order="ASC"))
 def knn_l2(spark, d):
-    return search.knn(_points(spark, d), _q0(spark, d), 10, "L2", id="vec_id").select("vec_id", _six("score"))
+    return search.knn(_vectors(spark, d), _q0(spark, d), 10, "L2", id="vec_id").select("vec_id", _six("score"))
 
 
 @query(_top(_COS, "0"))
 def knn_k0(spark, d):
-    return search.knn(_points(spark, d), _q0(spark, d), 0, id="vec_id").select("vec_id", _six("score"))
+    return search.knn(_vectors(spark, d), _q0(spark, d), 0, id="vec_id").select("vec_id", _six("score"))
 
 
 @query(_top(_COS, "1000000"))
 def knn_k_gt_n(spark, d):
-    return search.knn(_points(spark, d), _q0(spark, d), 1_000_000, id="vec_id").select("vec_id", _six("score"))
+    return search.knn(_vectors(spark, d), _q0(spark, d), 1_000_000, id="vec_id").select("vec_id", _six("score"))
 
 
 @query(_top(_COS, "1"))
 def knn_self(spark, d):
-    return search.knn(_points(spark, d), _q0(spark, d), 1, id="vec_id").select("vec_id", _six("score"))
+    return search.knn(_vectors(spark, d), _q0(spark, d), 1, id="vec_id").select("vec_id", _six("score"))
 
 
 def _batch_sql(score: str, order: str) -> str:
@@ -102,17 +107,17 @@ _E = "a.embedding::DOUBLE[], b.embedding::DOUBLE[]"
 
 @query(_batch_sql(f"list_cosine_similarity({_E})", "DESC"))
 def knn_batch_cosine(spark, d):
-    return _batch(search.knn_batch(_points(spark, d), _queries(spark, d), 10, "COSINE", id="vec_id"))
+    return _batch(search.knn_batch(_vectors(spark, d), _queries(spark, d), 10, "COSINE", id="vec_id"))
 
 
 @query(_batch_sql(f"list_distance({_E})", "ASC"))
 def knn_batch_l2(spark, d):
-    return _batch(search.knn_batch(_points(spark, d), _queries(spark, d), 10, "L2", id="vec_id"))
+    return _batch(search.knn_batch(_vectors(spark, d), _queries(spark, d), 10, "L2", id="vec_id"))
 
 
 @query(_batch_sql(f"list_cosine_similarity({_E})", "DESC"))
 def knn_batch_columns(spark, d):
-    return _batch(search.knn_batch_columns(_points(spark, d), _queries(spark, d), 10, "COSINE", id="vec_id"))
+    return _batch(search.knn_batch_columns(_vectors(spark, d), _queries(spark, d), 10, "COSINE", id="vec_id"))
 
 
 def _filtered(spark, d, must, k=5, mode="pre"):
@@ -159,14 +164,14 @@ def filter_explicit_null(spark, d):
     r AS (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY score DESC, vec_id) AS n FROM s)
     SELECT vec_id, seg, round(score, 6) + 0 AS score FROM r WHERE n <= 20 ORDER BY r.score DESC, vec_id LIMIT 10""")
 def knn_segments_merge(spark, d):
-    points = _points(spark, d).withColumn("seg", F.col("vec_id") % 4)
+    points = _vectors(spark, d).withColumn("seg", F.col("vec_id") % 4)
     return search.knn_segments(points, _q0(spark, d), 10, "seg", id="vec_id").select("vec_id", "seg", _six("score"))
 
 
 @query(f"{_PTS} SELECT vec_id, round(list_dot_product(v, qv), 6) + 0 AS dot, round(sqrt(list_dot_product(v, v)), 6) + 0 AS norm FROM pts, q")
 def vector_norms(spark, d):
     q = search.query_vector(_q0(spark, d))
-    return _points(spark, d).select("vec_id", _six(dot(F.col("vector"), q)).alias("dot"), _six(norm(F.col("vector"))).alias("norm"))
+    return _vectors(spark, d).select("vec_id", _six(dot(F.col("vector"), q)).alias("dot"), _six(norm(F.col("vector"))).alias("norm"))
 
 
 @query("SELECT * FROM (VALUES (1, 1.0::DOUBLE, 0.0::DOUBLE), (2, -1.0, round(sqrt(56.0), 6)), (3, 1.0, round(sqrt(14.0), 6)), (4, 0.0, round(sqrt(14.0), 6)), (5, round(32 / sqrt(14 * 77.0), 6), round(sqrt(27.0), 6))) t(n, cosine, l2)")
@@ -180,13 +185,13 @@ def distance_cases(spark, d):
 @query(f"{_PTS} SELECT vec_id, round(least(greatest({_COS} * 100, 0), 100), 4) + 0 AS pct, CASE WHEN {_COS} > 0.75 THEN 'success' WHEN {_COS} > 0.5 THEN 'warning' ELSE 'error' END AS band, round(-{_L2}, 6) + 0 AS heap FROM pts, q")
 def score_bands(spark, d):
     q = search.query_vector(_q0(spark, d))
-    scored = _points(spark, d).select("vec_id", cosine(F.col("vector"), q).alias("s"), l2(F.col("vector"), q).alias("e"))
+    scored = _vectors(spark, d).select("vec_id", cosine(F.col("vector"), q).alias("s"), l2(F.col("vector"), q).alias("e"))
     return scored.select("vec_id", (F.round(percent(F.col("s")), 4) + 0).alias("pct"), band(F.col("s")).alias("band"), _six(heap_score("L2", F.col("e"))).alias("heap"))
 
 
 @query("SELECT vec_id, len(embedding) AS dim FROM embeddings ORDER BY vec_id LIMIT 100")
 def points_list(spark, d):
-    return _points(spark, d).select("vec_id", F.size("vector").cast("bigint").alias("dim")).orderBy("vec_id").limit(100)
+    return _vectors(spark, d).select("vec_id", F.size("vector").cast("bigint").alias("dim")).orderBy("vec_id").limit(100)
 
 
 _LOG = "WITH log AS (SELECT event_id AS lsn, ts, user_id AS id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op, CASE WHEN event_id % 7 = 0 OR event_type = 'error' THEN NULL ELSE props END AS payload FROM events)"
@@ -422,13 +427,13 @@ _BOTH = f"WITH {_GRAPH}, both_ways AS (SELECT src, dst, score FROM e UNION SELEC
 
 @query(f"WITH {_GRAPH} SELECT src, dst, round(score, 6) + 0 AS score, rank FROM e")
 def knn_graph(spark, d):
-    g = graph.knn_graph(_points(spark, d), 15, id="vec_id")
+    g = graph.knn_graph(_vectors(spark, d), 15, id="vec_id")
     return g.select("src", "dst", _six("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def _linked(spark, d) -> DataFrame:
     # one score an edge whichever side it was computed from
-    g = graph.knn_graph(_points(spark, d), 15, id="vec_id").withColumn("score", F.round("score", 12))
+    g = graph.knn_graph(_vectors(spark, d), 15, id="vec_id").withColumn("score", F.round("score", 12))
     return graph.link_both_ways(g, 32)
 
 
@@ -444,7 +449,7 @@ def graph_degree(spark, d):
 
 @query(f"WITH {_GRAPH} SELECT src, dst, rank FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM e) WHERE rank <= 3")
 def graph_select_best(spark, d):
-    g = graph.knn_graph(_points(spark, d), 15, id="vec_id")
+    g = graph.knn_graph(_vectors(spark, d), 15, id="vec_id")
     return graph.select_best(g, 3).select("src", "dst", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -478,7 +483,7 @@ def color_mode(spark, d):
 
 @query(f"{_PTS}, h AS (SELECT vec_id, {_COS} AS score FROM pts, q ORDER BY score DESC, vec_id LIMIT 10) SELECT e.vec_id, h.vec_id IS NOT NULL AS is_hit, CASE WHEN e.vec_id = 5 THEN 'selected' WHEN h.vec_id IS NOT NULL THEN 'hit' ELSE 'default' END AS style FROM embeddings e LEFT JOIN h USING (vec_id)")
 def search_highlight(spark, d):
-    points = _points(spark, d)
+    points = _vectors(spark, d)
     hits = search.knn(points, _q0(spark, d), 10, id="vec_id")
     return search.highlight(points.select("vec_id"), hits, id="vec_id", selected=5).select("vec_id", "is_hit", "style")
 
@@ -516,30 +521,58 @@ def explore_sample(spark, d):
 
 @query()
 def pca_2d(spark, d):
-    return explore.pca_2d(_points(spark, d), id="vec_id").select("vec_id", F.abs(F.round("x", 4)).alias("x"), F.abs(F.round("y", 4)).alias("y"))
+    return explore.pca_2d(_vectors(spark, d), id="vec_id").select("vec_id", F.abs(F.round("x", 4)).alias("x"), F.abs(F.round("y", 4)).alias("y"))
 
 
 @query()
 def layout_2d(spark, d):
-    points = _points(spark, d)
+    points = _vectors(spark, d)
     return explore.neighbour_layout(graph.knn_graph(points, 15, id="vec_id"), explore.pca_2d(points, id="vec_id"), 3, id="vec_id")
 
 
 @query()
 def lsh_knn(spark, d):
-    return graph.lsh_knn(_points(spark, d), _q0(spark, d), 10, id="vec_id")
+    return graph.lsh_knn(_vectors(spark, d), _q0(spark, d), 10, id="vec_id")
 
 
 @query()
 def ivf_knn(spark, d):
-    return _batch(graph.CellIndex(_points(spark, d), id="vec_id").search_batch(_queries(spark, d), 10, nprobe=16))
+    return _batch(graph.CellIndex.build(_vectors(spark, d), id="vec_id").search_batch(_queries(spark, d), 10, nprobe=16))
 
 
 @query()
 def ivf_recall(spark, d):
-    points = _points(spark, d)
+    points = _vectors(spark, d)
     exact = search.knn_batch(points, _queries(spark, d), 10, id="vec_id")
-    return graph.recall(exact, graph.CellIndex(points, id="vec_id").search_batch(_queries(spark, d), 10, nprobe=16))
+    return graph.recall(exact, graph.CellIndex.build(points, id="vec_id").search_batch(_queries(spark, d), 10, nprobe=16))
+
+
+_SCORED = """WITH best AS (SELECT * FROM points WHERE collection_name = 'press_pages' QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC NULLS LAST, len(vector) DESC NULLS LAST) = 1),
+    q AS (SELECT list_transform(range(64), lambda i: CAST(1 + i % 5 AS DOUBLE)) AS qv),
+    ok AS (SELECT id, coalesce(len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NOT NULL AND isfinite(x))) = 64, FALSE) AS good, vector FROM best),
+    f AS (SELECT id, good, list_transform(range(1, 65), lambda i: CASE WHEN good THEN coalesce(vector[i], 0)::DOUBLE ELSE 1::DOUBLE END) AS v FROM ok),
+    s AS (SELECT id, CASE WHEN NOT good THEN NULL WHEN len(list_filter(v, lambda x: x <> 0)) = 0 THEN {zero} ELSE {score} END AS score FROM f, q)
+    SELECT id, round(score, 5) + 0 AS score FROM s"""
+
+
+def _dirty(spark, d) -> tuple[DataFrame, list[float]]:
+    """Points of one collection with all their unusable vectors, and a query."""
+    rows = table(spark, d, "points").where("collection_name = 'press_pages'")
+    newest = F.max_by("vector", F.struct(F.coalesce("version", F.lit(-(1 << 62))), F.coalesce(F.size("vector"), F.lit(-1))))
+    return rows.groupBy("id").agg(newest.alias("vector")), [float(1 + i % 5) for i in range(64)]
+
+
+@query(_SCORED.format(zero="0.0", score="list_cosine_similarity(v, qv)"))
+def knn_dirty_cosine(spark, d):
+    points, q = _dirty(spark, d)
+    return search.knn(points, q, points.count()).select("id", (F.round("score", 5) + 0).alias("score"))
+
+
+@query(_SCORED.format(zero="list_distance(v, qv)", score="list_distance(v, qv)"))
+def knn_dirty_l2_batch(spark, d):
+    points, q = _dirty(spark, d)
+    asked = spark.createDataFrame([(0, q)], "qid int, query array<double>")
+    return search.knn_batch(points, asked, points.count(), "L2").select("id", (F.round("score", 5) + 0).alias("score"))
 
 
 @query()
