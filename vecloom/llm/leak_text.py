@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
+from collections.abc import Iterator
 
 #: Letters that recognisers take for one another share a class.
 CLASSES = ("nur", "oeca0", "tfs85ſ", "hb", "il1j|")
@@ -53,7 +54,7 @@ def fold(word: str) -> str:
 class Page:
     """Folded words of a text, the segment of each, and where a run may go from it."""
 
-    __slots__ = ("words", "ends", "starts", "heads", "tails")
+    __slots__ = ("words", "ends", "starts")
 
     def __init__(self, text: str):
         self.words: list[str] = []
@@ -65,24 +66,30 @@ class Page:
                     self.starts.append(len(self.words))
                     self.words += words
         self.ends = [s - 1 for s in self.starts[1:]] + [len(self.words) - 1] if self.starts else []
-        self.heads: dict[str, list[int]] = {}  # first words of segments
-        self.tails: dict[str, list[int]] = {}  # last words of segments
-        for s, e in zip(self.starts, self.ends):
-            self.heads.setdefault(self.words[s], []).append(s)
-            self.tails.setdefault(self.words[e], []).append(e)
-
-    def edge(self, i: int, way: int) -> bool:
-        """Whether word ``i`` is the last (first) of its segment."""
-        k = bisect_right(self.starts, i) - 1
-        return i == (self.ends[k] if way > 0 else self.starts[k])
 
-    def after(self, i: int, jump: int) -> list[int]:
+    def onward(self, i: int, way: int) -> list[int]:
+        """Where the word after ``i`` (before, if ``way`` is -1) can stand: nearest segment first."""
         k = bisect_right(self.starts, i) - 1
-        return [i + 1] if i < self.ends[k] else self.starts[k + 1 : k + 2 + jump]
+        if way > 0:
+            return [i + 1] if i < self.ends[k] else self.starts[k + 1 :]
+        return [i - 1] if i > self.starts[k] else self.ends[:k][::-1]
 
-    def before(self, i: int, jump: int) -> list[int]:
+    def behind(self, i: int, way: int) -> list[int]:
+        """Ends of segments on the other side, where a run that left its segment may go on: the next column."""
         k = bisect_right(self.starts, i) - 1
-        return [i - 1] if i > self.starts[k] else self.ends[max(0, k - 1 - jump) : k][::-1]
+        if i != (self.ends[k] if way > 0 else self.starts[k]):
+            return []
+        return self.starts[:k] if way > 0 else self.ends[k + 1 :]
+
+    def strings(self) -> Iterator[tuple[str, int, int]]:
+        """``(letters, first, last)`` of every one to four neighbouring words of a segment."""
+        words = self.words
+        for start, end in zip(self.starts, self.ends):
+            for i in range(start, end + 1):
+                letters = ""
+                for j in range(i, min(i + 4, end + 1)):
+                    letters += words[j]
+                    yield letters, i, j
 
 
 _near: dict[tuple[str, str], bool] = {}
@@ -115,62 +122,96 @@ def _edits(a: str, b: str, most: int) -> bool:
     return _edits(a[1:], b, most - 1) or _edits(a, b[1:], most - 1) or _edits(a[1:], b[1:], most - 1)
 
 
-def _extend(page: Page, passage: list[str], i: int, j: int, way: int, jump: int) -> int:
-    """Passage words that follow word ``j`` (at ``i``) in direction ``way``."""
-    words, n = page.words, len(passage)
-    step = page.after if way > 0 else page.before
+#: Segments passed over within which one or two words more are believed; farther away three have to follow.
+CLOSE = 8
+
+
+def _extend(page: Page, passage: list[str], i: int, j: int, way: int, most: int) -> int:
+    """Passage words, ``most`` at most, that follow word ``j`` (at ``i``) in direction ``way``."""
+    words = page.words
+    first, last = max(0, j - most), min(len(passage) - 1, j + most)
     memo: dict[tuple[int, int], int] = {}
 
-    def go(i: int, j: int, depth: int) -> int:
-        if not 0 <= j + way < n or depth > 400:
+    def at_word(at: int, j: int, want: str, two: str | None) -> int:
+        """Words gained if the next passage word, read in one of the ways of a recogniser, stands at ``at``."""
+        got, here = words[at], 0
+        if near(want, got):
+            here = 1 + go(at, j + way)
+        if two and len(got) > len(want) and near(two, got):
+            here = max(here, 2 + go(at, j + 2 * way))
+        if len(got) < len(want) + 2:
+            for then in page.onward(at, way):
+                size = len(got) + len(words[then])
+                if abs(size - len(want)) > 2 and (not two or abs(size - len(two)) > 2):
+                    continue
+                both = got + words[then] if way > 0 else words[then] + got
+                if near(want, both):
+                    here = max(here, 1 + go(then, j + way))
+                elif two and near(two, both) and not near(want, got):
+                    here = max(here, 2 + go(then, j + 2 * way))
+        if not here and len(want) >= 4 and len(got) > len(want) and (got.startswith(want) if way > 0 else got.endswith(want)):
+            here = 1
+        return here
+
+    def go(i: int, j: int) -> int:
+        if not first <= j + way <= last:
             return 0
         known = memo.get((i, j))
         if known is not None:
             return known
         memo[i, j] = 0
         best, want = 0, passage[j + way]
-        two = None if not 0 <= j + 2 * way < n else (want + passage[j + 2 * way] if way > 0 else passage[j + 2 * way] + want)
-        for far, at in enumerate(step(i, jump)):
-            got, here = words[at], 0
-            if near(want, got):
-                here = 1 + go(at, j + way, depth + 1)
-            if two and len(got) > len(want) and near(two, got):
-                here = max(here, 2 + go(at, j + 2 * way, depth + 1))
-            if len(got) < len(want) + 2:
-                for then in step(at, jump):
-                    both = got + words[then] if way > 0 else words[then] + got
-                    if near(want, both):
-                        here = max(here, 1 + go(then, j + way, depth + 1))
-                    elif two and near(two, both) and not near(want, got):
-                        here = max(here, 2 + go(then, j + 2 * way, depth + 1))
-            if not here and len(want) >= 4 and len(got) > len(want) and (got.startswith(want) if way > 0 else got.endswith(want)):
-                here = 1
+        two = None if not first <= j + 2 * way <= last else (want + passage[j + 2 * way] if way > 0 else passage[j + 2 * way] + want)
+        for far, at in enumerate(page.onward(i, way)):
+            here = at_word(at, j, want, two)
             # a lone short word beyond other segments is chance, not the passage
-            if here == 1 and far > 1 and len(want) < 6:
+            if (here == 1 and far > 1 and len(want) < 6) or (far > CLOSE and here < 3):
                 here = 0
             best = max(best, here)
-        if not best and page.edge(i, way):
-            # the foot of a column, read on at the head of the next: more must follow to count
-            for at in (page.heads if way > 0 else page.tails).get(want, ()):
-                here = 1 + go(at, j + way, depth + 1)
+        if not best:
+            # the foot of a column, read on at the head of another: more must follow to count
+            for at in page.behind(i, way):
+                here = at_word(at, j, want, two)
                 best = max(best, here if here >= 3 else 0)
         memo[i, j] = best
         return best
 
-    return go(i, j, 0)
+    return go(i, j)
+
+
+#: Letters below which a shingle takes a third word.
+SHORT = 9
+
+
+def shingles(words: list[str]) -> list[tuple[int, int, str]]:
+    """``(first word, words, letters)`` of each shingle of a passage."""
+    out = []
+    for j in range(len(words) - 1):
+        size = 2 if len(words[j]) + len(words[j + 1]) >= SHORT or j + 3 > len(words) else 3
+        out.append((j, size, "".join(words[j : j + size])))
+    return out
+
+
+def places(page: Page, wanted: set[str]) -> dict[str, list[tuple[int, int]]]:
+    """Where the wanted strings stand in a page: first and last word of each."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for letters, i, j in page.strings():
+        if letters in wanted:
+            out.setdefault(letters, []).append((i, j))
+    return out
+
 
+def longest_run(page: Page, passage: list[str], enough: int | None = None, where: dict[str, list[tuple[int, int]]] | None = None) -> int:
+    """Most consecutive words of ``passage`` that stand in ``page``; ``enough`` ends the search.
 
-def longest_run(page: Page, passage: list[str], jump: int = 8, enough: int | None = None) -> int:
-    """Most consecutive words of ``passage`` that stand in ``page``; stops at ``enough``."""
-    where: dict[str, list[int]] = {}
-    for i, w in enumerate(page.words):
-        where.setdefault(w, []).append(i)
-    best = 0
-    for j, w in sorted(enumerate(passage), key=lambda x: -len(x[1])):
-        if best and len(w) < 5:
-            break
-        for i in where.get(w, ()):
-            best = max(best, 1 + _extend(page, passage, i, j, 1, jump) + _extend(page, passage, i, j, -1, jump))
+    A run is grown from every shingle of the passage that stands in the page.
+    """
+    own = shingles(passage)
+    where = places(page, {letters for _, _, letters in own}) if where is None else where
+    best, most = 0, enough or len(passage)
+    for at, size, letters in own:
+        for i, j in where.get(letters, ()):
+            best = max(best, size + _extend(page, passage, j, at + size - 1, 1, most) + _extend(page, passage, i, at, -1, most))
             if enough and best >= enough:
                 return best
     return best
