@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from vecloom.llm.spans import SharedSpans, shingle_hashes, sliding_min
+from vecloom.llm.spans import SharedSpans, shingle_hashes, signatures, sliding_min
 
 
 def brute(docs, span):
@@ -56,3 +56,21 @@ def test_empty_and_repeated_rows(spark):
     same = "ab" * 200
     assert SharedSpans(frame(spark, [(1, same), (1, same), (None, same)])).pairs().count() == 0
     assert [tuple(r) for r in SharedSpans(frame(spark, [(2, same), (1, same)])).pairs().collect()] == [(1, 2)]
+
+
+def test_periodic_texts_cost_few_signatures_and_lose_no_pair(spark):
+    assert len(signatures("z" * 20_000, 300, 236)[0]) <= 4
+    assert len(signatures("abc" * 7_000, 300, 236)[0]) <= 16
+    rng = random.Random(8)
+    docs, n = [], 0
+    for unit in ("z", "ab", "abcabd", "0123456789012345678"):
+        for size in (30, 38, 40, 41, 45, 52, 60, 79, 80, 81, 97, 150, 400):
+            for head, tail in (("", ""), ("<<", ""), ("", ">>"), ("q" + unit[1:], "w" * 20), ("long other head " * 2, "tail")):
+                at = rng.randrange(len(unit))
+                body = (unit * (size // len(unit) + 2))[at : at + size]
+                docs.append((n, head + body + tail))
+                n += 1
+    docs = rng.sample(docs, 130)
+    for tile in (1024, 8):
+        got = [tuple(r) for r in SharedSpans(frame(spark, docs), span=40, shingle=30, tile=tile).pairs().collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(docs, 40)

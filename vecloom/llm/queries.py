@@ -101,6 +101,17 @@ SQL = {
         SELECT DISTINCT collection_name, least(id, other) AS id_a, greatest(id, other) AS id_b FROM ranked WHERE rank <= 5""",
     "p2_neighbours": _RANKED + " SELECT collection_name, id, other, round(cosine, 6) + 0 AS cosine, rank FROM ranked WHERE rank <= 5",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p8_coverage": """
+        WITH RECURSIVE t AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS rep, count(*) OVER (PARTITION BY text) AS copies FROM documents WHERE length(text) >= 300),
+        grams AS (SELECT rep, i, hash(substring(text, CAST(i AS BIGINT), 300)) AS h FROM (SELECT rep, text, unnest(range(1, length(text) - 298)) AS i FROM t WHERE doc_id = rep)),
+        shared AS (SELECT h FROM grams GROUP BY h HAVING count(DISTINCT rep) > 1),
+        g AS (SELECT * FROM grams SEMI JOIN shared USING (h)), one AS (SELECT DISTINCT rep, h FROM g),
+        link AS (SELECT DISTINCT a.rep AS a, b.rep AS b FROM one a JOIN one b ON a.h = b.h AND a.rep <> b.rep),
+        reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+        cluster AS (SELECT a AS rep, least(a, min(b)) AS cluster_id FROM reach GROUP BY a), degree AS (SELECT a AS rep, count(*) AS links FROM link GROUP BY a),
+        cover AS (SELECT rep, CAST(sum(least(300, coalesce(nxt - i, 300))) AS BIGINT) AS part FROM (SELECT rep, i, lead(i) OVER (PARTITION BY rep ORDER BY i) AS nxt FROM g) GROUP BY rep)
+        SELECT doc_id, rep AS class_id, coalesce(cluster_id, rep) AS cluster_id, copies, coalesce(links, 0) AS links, CASE WHEN copies > 1 THEN length(text) ELSE part END AS shared_chars, length(text) AS n_chars
+        FROM t LEFT JOIN cluster USING (rep) LEFT JOIN degree USING (rep) LEFT JOIN cover USING (rep) WHERE copies > 1 OR links IS NOT NULL""",
     "p8_found": """
         WITH grams AS (
             SELECT DISTINCT doc_id, hash(substring(text, CAST(i AS BIGINT), 300)) AS h

@@ -1,6 +1,7 @@
 """Long verbatim pieces shared between records.
 
-Method: MinHash banding of paragraphs, verified exactly.
+Method: MinHash banding needs paragraphs, and a verbatim piece may begin anywhere, so
+this is its limit for pieces: every run of ``span`` characters counts as a paragraph.
 
 * A *paragraph* is any run of ``span`` consecutive code points, so a copy is seen
   wherever it starts, and its shingles are the ``shingle``-character strings in it.
@@ -27,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.blocks import hot_keys, tiled
 from ..operators.components import connected_components
 from ..runtime import materialize, spread
 
 SPAN = 300
 #: Shingles nearly as long as the span keep collisions of shorter boilerplate out.
 SHINGLE = 236
+#: Pages of one piece that meet in one task.
+TILE = 1024
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,8 +82,30 @@ def signatures(text: str, span: int, shingle: int) -> tuple[np.ndarray, np.ndarr
     hashes = shingle_hashes(codes, shingle)
     low = sliding_min(hashes, span - shingle + 1)
     picked = np.unique(low[np.concatenate(([True], low[1:] != low[:-1]))])
-    at = np.flatnonzero(np.isin(hashes, picked)).astype(np.int32)
-    return at, hashes[at].view(np.int64)
+    at = np.flatnonzero(np.isin(hashes, picked))
+    at = ends_of_repeats(at, hashes[at], shingle)
+    return at.astype(np.int32), hashes[at].view(np.int64)
+
+
+def ends_of_repeats(at: np.ndarray, hashes: np.ndarray, shingle: int) -> np.ndarray:
+    """Of places where one string repeats at even, overlapping distances the first two and the last two.
+
+    Such a stretch is periodic. A common piece that leaves it on a side has its first
+    (last) place on both sides there; one that lies inside it on both sides is found,
+    in full length, from the first or second place of one and the first of the other,
+    or from their last ones. So a stretch of any length costs four signatures.
+    """
+    if len(at) < 5:
+        return at
+    order = np.lexsort((at, hashes))
+    a, h = at[order], hashes[order]
+    gap = np.where((h[1:] == h[:-1]) & (a[1:] - a[:-1] <= shingle), a[1:] - a[:-1], 0)
+    even = np.zeros(len(a), bool)  # the same gap on both sides
+    even[1:-1] = (gap[1:] == gap[:-1]) & (gap[1:] > 0)
+    # inside a stretch, and not the second from either end of it
+    inner = np.zeros(len(a), bool)
+    inner[2:-2] = even[1:-3] & even[2:-2] & even[3:-1]
+    return np.sort(a[~inner])
 
 
 def paragraph_signatures(texts: DataFrame, span: int, shingle: int) -> DataFrame:
@@ -114,10 +140,10 @@ def _common_prefix(a: Column, b: Column, most: int) -> Column:
 class SharedSpans:
     """Classes of equal texts, and verified links between texts that differ."""
 
-    def __init__(self, documents: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, shingle: int = SHINGLE):
+    def __init__(self, documents: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, shingle: int = SHINGLE, tile: int = TILE):
         if not 1 < shingle <= span:
             raise ValueError("shingle must lie between 2 and span")
-        self.span, self.shingle = span, shingle
+        self.span, self.shingle, self.tile = span, shingle, tile
         rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") >= span)
         digest = F.sha2(F.col("text"), 256)
         rows_of_text = rows.select("key", digest.alias("digest")).distinct()
@@ -150,8 +176,12 @@ class SharedSpans:
             F.reverse(F.substring("text", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(reach)))).alias("left"),
             F.substring("text", F.col("pos") + k + 1, F.lit(reach)).alias("right"),
         ).dropDuplicates(["rep", "pos", "sig"])
-        piece = materialize(piece, "span-pieces")
-        both = piece.alias("x").join(piece.alias("y"), (F.col("x.digest") == F.col("y.digest")) & (F.col("x.rep") < F.col("y.rep")))
+        piece = materialize(piece.withColumn("key", F.xxhash64("digest")).withColumn("pid", F.xxhash64("rep")), "span-pieces")
+        # a piece that stands on very many pages is many tasks: a pair of tiles each
+        piece = tiled(piece, hot_keys(piece.select("key"), self.tile), self.tile)
+        same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "lo", "hi", "digest")]
+        apart = (F.col("x.lo") == F.col("x.hi")) | (F.col("x.tile") != F.col("y.tile"))
+        both = piece.alias("x").join(piece.alias("y"), [*same, apart, F.col("x.rep") < F.col("y.rep")])
         before = _common_prefix(F.col("x.left"), F.col("y.left"), reach)
         after = _common_prefix(F.col("x.right"), F.col("y.right"), reach)
         grown = both.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.pos").alias("pos_x"), F.col("y.pos").alias("pos_y"), before.alias("l"), after.alias("r"))
