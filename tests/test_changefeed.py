@@ -62,6 +62,15 @@ def test_stream_in_batches_and_restart(spark, tmp_path):
     assert body == {(r.collection_name, r.id): r.metadata for r in apply_batch(spark.createDataFrame(rows, SCHEMA)).collect()}
 
 
+def test_batches_are_folded_into_versions(spark, tmp_path):
+    rows = rows_of(3, 120)
+    at, home = f"{tmp_path}/log", f"file://{tmp_path}/home"
+    spark.createDataFrame(rows, SCHEMA).repartition(7).write.parquet(at)
+    feed = ChangeFeed(spark, at, home=home, max_files=1, stretch=50, compact=2).run_available()
+    assert found(feed.current()) == truth(rows)
+    assert len(feed._written("versions")) == 2 and len(feed._written("states")) <= 5
+
+
 def test_empty_log(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/log")
     assert ChangeFeed(spark, f"{tmp_path}/log").run_available().current().count() == 0
