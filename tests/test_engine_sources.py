@@ -1,10 +1,11 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from vecloom.operators import explore
-from vecloom.schema import AlreadyExists, CorruptData, GraphConfig, InvalidArgument, NotFound
+from vecloom.schema import AlreadyExists, CorruptData, GraphConfig, InvalidArgument, NotFound, status_of
 from vecloom.sources import points as src
 from vecloom.sources.store import AsyncEngine, Engine
 
@@ -99,6 +100,99 @@ def test_bad_batch_is_refused(engine):
             call()
 
 
+def test_deletes_outlive_checkpoints_and_snapshots(spark, engine):
+    engine.create_collection("c", 2)
+    engine.upsert_rows("c", [("a", [1.0, 0.0], None), ("b", [0.0, 1.0], "{}"), ("d", [1.0, 1.0], "{}")])
+    code = lambda name, *ids: {r.point_id: r.status_code for r in engine.delete(name, list(ids)).collect()}
+    assert code("c", "a", "zz") == {"a": "OK", "zz": "NOT_FOUND"}
+    engine.checkpoint("c")
+    assert code("c", "a", "zz") == {"a": "OK", "zz": "NOT_FOUND"}
+    assert code("c", "b") == {"b": "OK"}
+    engine.checkpoint("c")
+    engine.upsert_rows("c", [("a", [1.0, 0.5], "{}")])
+    engine.checkpoint("c")
+    assert versions(engine.points("c")) == {"a": 1, "d": 1} and {r.id for r in engine.tombstones("c").collect()} == {"b"}
+    engine.create_snapshot("c", "s")
+    engine.restore_snapshot("c", "s", "copy")
+    assert code("copy", "b", "a") == {"b": "OK", "a": "OK"}
+
+
+def test_damage_is_found_and_cut(spark, engine):
+    engine.create_collection("c", 2)
+    engine.upsert_rows("c", [(x, [1.0, 0.0], "{}") for x in "abcd"])
+    engine.upsert_rows("c", [("e", [1.0, 0.0], "{}")])
+    at = f"{engine._dir('c')}/log/part=0"
+    rows = spark.createDataFrame(spark.read.parquet(at).toArrow())
+    rows.withColumn("payload", F.when(F.col("id") == "c", "{ }").otherwise(F.col("payload"))).write.mode("overwrite").parquet(at)
+    with pytest.raises(CorruptData):
+        engine.verify("c")
+    assert engine.repair("c") == 2 and versions(engine.points("c")) == {"a": 1, "b": 1, "e": 1} and engine.repair("c") == 0
+
+
+def test_broken_replacement_and_lost_files(spark, engine):
+    engine.create_collection("c", 2)
+    engine.upsert_rows("c", [("a", [1.0, 0.0], None)])
+    engine.upsert_rows("c", [("b", [1.0, 0.0], None)])
+    meta = f"{engine._dir('c')}/meta.json"
+    text = engine.files.read(meta)
+    # the new text stands beside, the old one is gone: as after a crash between the two
+    engine.files.fs.rename(engine.files.path(meta), engine.files.path(meta + ".tmp"))
+    assert engine.files.read(meta) == text and engine.list_collections() == ["c"] and engine.points("c").count() == 2
+    engine.add_segment("c")
+    assert engine._meta("c")["segment"] == 1
+    engine.files.delete(meta)
+    assert engine._meta("c")["dim"] == 2 and versions(engine.points("c")) == {"a": None, "b": None}
+    engine.files.replace(meta, text)
+    engine.files.delete(f"{engine._dir('c')}/log/part=0")
+    with pytest.warns(UserWarning):
+        assert versions(engine.points("c")) == {"b": None}
+    engine.files.delete(f"{engine._dir('c')}/log/part=1")
+    with pytest.raises(CorruptData):
+        engine.points("c")
+
+
+def test_errors_and_catalog(spark, engine):
+    engine.create_collection("c", 2)
+    engine.create_collection("d", 3, "EUCLIDEAN_L2")
+    good = spark.createDataFrame([("a", [1.0, 0.0], None)], "id string, vector array<float>, payload string")
+    engine.upsert_or_raise("c", good)
+    with pytest.raises(InvalidArgument, match="Dimension mismatch"):
+        engine.upsert_or_raise("d", good)
+    with pytest.raises(InvalidArgument):
+        engine.search("c", [1.0], 1)
+    try:
+        engine.search("c", [1.0], 1)
+    except Exception as wrong:  # noqa: BLE001
+        assert status_of(wrong) == "INVALID_ARGUMENT" and status_of(None) == "OK" and status_of(NotFound()) == "NOT_FOUND" and status_of(OSError()) == "INTERNAL"
+    assert [tuple(r) for r in engine.describe_all().collect()] == [("c", 1, "GREEN", 2, "COSINE"), ("d", 0, "GREEN", 3, "EUCLIDEAN_L2")]
+
+
+def test_index_graph_and_own_metric(spark, engine):
+    from vecloom.functions.distance import dot, register_metric
+    from vecloom.operators import search
+
+    x = np.random.default_rng(1).standard_normal((300, 4)).round(3).tolist()
+    engine.create_collection("c", 4)
+    engine.upsert_rows("c", [(f"p{i}", v, f'{{"n":{i % 3}}}') for i, v in enumerate(x)])
+    with pytest.raises(NotFound):
+        engine.search("c", x[0], 3, approximate=True)
+    engine.create_cell_index("c", 8)
+    engine.upsert_rows("c", [("new", x[0], "{}")])
+    engine.delete("c", ["p0"])
+    exact = [r.id for r in engine.search("c", x[0], 10).collect()]
+    assert [r.id for r in engine.search("c", x[0], 10, approximate=True, ef_search=1000).collect()] == exact and exact[0] == "new"
+    assert len(set(exact) & {r.id for r in engine.search("c", x[0], 10, approximate=True, ef_search=12).collect()}) >= 8
+    assert {r.payload for r in engine.search("c", x[0], 10, {"n": 1}, approximate=True).collect()} == {'{"n":1}'}
+    engine.build_graph("c", 4)
+    assert len(engine.links("c", "new")) >= 4 and "p0" not in engine.links("c", "new")
+    with pytest.raises(NotFound):
+        engine.links("c", "p0")
+    register_metric("dot", dot, higher_is_better=True)
+    best = [r.id for r in search.knn(engine.points("c"), x[0], 3, "dot").collect()]
+    live = {f"p{i}": v for i, v in enumerate(x) if i} | {"new": x[0]}
+    assert best == sorted(live, key=lambda i: -float(np.dot(np.float32(live[i]), x[0])))[:3]
+
+
 def test_payload_kinds_survive(engine):
     payload = {"s": "hello", "i": 123, "f": 45.67, "t": True, "n": None, "l": ["item1", 100, True], "o": {"k": "v"}}
     engine.create_collection("c", 2)
@@ -114,6 +208,9 @@ def test_sources(spark, tmp_path):
     got = src.read_points_json(spark, f"{tmp_path}/a.json").orderBy("pos").collect()
     assert (got[0].id, got[0].vector, got[0].payload, got[0].error) == ("a", [1.0, 2.5], '{"b":1}', None)
     assert got[1].error == "id must be a string"
+    (tmp_path / "lines.json").write_text('[\n{"id":"a","vector":[1,2.5],"metadata":{"b":1.0}},\n\n{"id":3,"vector":[1]},\n{broken\n]\n')
+    lines = {r.error: (r.id, r.vector, r.payload) for r in src.read_points_lines(spark, f"{tmp_path}/lines.json").collect()}
+    assert lines == {None: ("a", [1.0, 2.5], '{"b":1}'), "id must be a string": ("3", [1.0], None), "line is no JSON": (None, None, None)}
     made = src.synthetic_vectors(spark, 20, 5)
     assert made.collect() == src.synthetic_vectors(spark, 20, 5).repartition(3).orderBy(F.expr("cast(substr(id, 5) as int)")).collect()
     assert all(-1 <= x <= 1 for r in made.collect() for x in r.vector)

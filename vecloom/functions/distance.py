@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from enum import Enum
 
 from pyspark.sql import Column
@@ -13,16 +15,41 @@ class Metric(Enum):
     L2 = "EUCLIDEAN_L2"
 
     @classmethod
-    def of(cls, name: "Metric | str") -> "Metric":
-        """Accepts the enum, its value, ``cosine``, ``l2`` and ``euclidean``; else ``ValueError``."""
-        if isinstance(name, cls):
+    def of(cls, name: "Metric | OwnMetric | str") -> "Metric | OwnMetric":
+        """Accepts the enum, its value, ``cosine``, ``l2``, ``euclidean`` and registered names; else ``ValueError``."""
+        if isinstance(name, (cls, OwnMetric)):
             return name
-        known = {"COSINE": cls.COSINE, "EUCLIDEAN_L2": cls.L2, "L2": cls.L2, "EUCLIDEAN": cls.L2}
+        known = {"COSINE": cls.COSINE, "EUCLIDEAN_L2": cls.L2, "L2": cls.L2, "EUCLIDEAN": cls.L2} | _OWN
         if str(name).upper() not in known:
             raise ValueError(f"unknown distance metric: {name}")
         return known[str(name).upper()]
 
 
+@dataclass(frozen=True)
+class OwnMetric:
+    """A metric by a column expression of two vectors; it serves every search that scores by columns."""
+
+    value: str
+    expression: Callable[[Column, Column], Column]
+    higher_is_better: bool
+
+
+_OWN: dict[str, OwnMetric] = {}
+
+
+def register_metric(name: str, expression: Callable[[Column, Column], Column], higher_is_better: bool) -> OwnMetric:
+    """Make ``name`` a metric that :meth:`Metric.of` knows; the built-in names cannot be taken."""
+    if name.upper() in ("COSINE", "EUCLIDEAN_L2", "L2", "EUCLIDEAN"):
+        raise ValueError(f"'{name}' is built in")
+    _OWN[name.upper()] = OwnMetric(name.upper(), expression, higher_is_better)
+    return _OWN[name.upper()]
+
+
+def higher_is_better(metric: "Metric | OwnMetric | str") -> bool:
+    metric = Metric.of(metric)
+    return metric.higher_is_better if isinstance(metric, OwnMetric) else metric is Metric.COSINE
+
+
 def _doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -59,18 +86,21 @@ def l2(a: Column, b: Column) -> Column:
 
 
 def score(metric: Metric | str, a: Column, b: Column) -> Column:
-    return cosine(a, b) if Metric.of(metric) is Metric.COSINE else l2(a, b)
+    metric = Metric.of(metric)
+    if isinstance(metric, OwnMetric):
+        return finite(metric.expression(a, b))
+    return cosine(a, b) if metric is Metric.COSINE else l2(a, b)
 
 
 def best_first(metric: Metric | str, column: str = "score") -> list[Column]:
     """Sort keys: similarities fall, distances rise, NaN and null come last."""
     clean = F.nanvl(F.col(column), F.lit(None).cast("double"))
-    return [clean.desc_nulls_last() if Metric.of(metric) is Metric.COSINE else clean.asc_nulls_last()]
+    return [clean.desc_nulls_last() if higher_is_better(metric) else clean.asc_nulls_last()]
 
 
 def heap_score(metric: Metric | str, value: Column) -> Column:
     """The score turned so that higher is better; its own inverse."""
-    return value if Metric.of(metric) is Metric.COSINE else -value
+    return value if higher_is_better(metric) else -value
 
 
 def band(value: Column) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import drop_table, materialize
+from .state import sequence_rows
+
 #: Colours of the palette, and how many distinct numbers make a scale.
 PALETTE, SCALE_ABOVE = 10, 10
 
@@ -20,20 +23,30 @@ def pca_2d(points: DataFrame, id: str = "id", vector: str = "vector") -> DataFra
     return projected.select(id, vector_to_array("pca").alias("p")).select(id, F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
 
 
-def neighbour_layout(edges: DataFrame, start: DataFrame, rounds: int = 10, id: str = "id") -> DataFrame:
-    """A layout ``(id, x, y)`` that draws neighbours together: averaging over a neighbour graph from a first projection."""
-    now = start.select(F.col(id).alias("src"), "x", "y")
+def neighbour_layout(edges: DataFrame, start: DataFrame, rounds: int = 10, id: str = "id", apart: float = 0.1) -> DataFrame:
+    """A layout ``(id, x, y)`` that keeps neighbours together: from a first projection, every point moves to the
+    middle of itself and its neighbours, but not nearer to it than ``apart`` of the way, so groups do not collapse.
+
+    A round is a join and is written, so the plan does not grow with the rounds.
+    """
+    now = materialize(start.select(F.col(id).alias("src"), "x", "y"), "layout")
     for _ in range(rounds):
         pulled = edges.select("src", "dst").join(now.select(F.col("src").alias("dst"), "x", "y"), "dst").groupBy("src").agg(F.avg("x").alias("nx"), F.avg("y").alias("ny"))
-        now = now.join(pulled, "src", "left").select("src", ((F.col("x") + F.coalesce("nx", "x")) / 2).alias("x"), ((F.col("y") + F.coalesce("ny", "y")) / 2).alias("y"))
+        part = (1 - apart) / 2
+        moved = now.join(pulled, "src", "left").select("src", *((F.col(c) + part * (F.coalesce(f"n{c}", c) - F.col(c))).alias(c) for c in ("x", "y")))
+        after = materialize(moved, "layout")
+        drop_table(now)
+        now = after
     return now.select(F.col("src").alias(id), "x", "y")
 
 
 def colour_categorical(sample: DataFrame, field: str, order: str) -> DataFrame:
-    """``colour``: the palette index of a value by first appearance; null stays without colour."""
+    """``colour``: the palette index of a value by first appearance; null stays without colour.
+
+    Values are numbered in ranges, so a field of very many values is no single task.
+    """
     first = sample.where(F.col(field).isNotNull()).groupBy(field).agg(F.min(order).alias("__first"))
-    # one row a distinct value of a sample
-    index = first.withColumn("colour", F.pmod(F.row_number().over(Window.orderBy("__first")) - 1, F.lit(PALETTE)).cast("int")).drop("__first")
+    index = sequence_rows(first, 0, ["__first"]).select(field, F.pmod("lsn", F.lit(PALETTE)).cast("int").alias("colour"))
     return sample.join(index, field, "left")
 
 

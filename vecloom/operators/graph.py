@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.distance import Metric, best_first, score
+from ..functions.distance import Metric, best_first, higher_is_better, score
 from ..runtime import scratch_path
 from .search import QUERY_BLOCK, _best_rows, comparable, knn, knn_batch, query_vector
 
@@ -30,9 +30,13 @@ def select_best(edges: DataFrame, m: int, metric: Metric | str = "COSINE") -> Da
 
 
 def link_both_ways(edges: DataFrame, m_max: int, metric: Metric | str = "COSINE") -> DataFrame:
-    """Every edge in both directions, cut to the ``m_max`` best of each node."""
-    both = edges.select("src", "dst", "score").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "score")).distinct()
-    return select_best(both, m_max, metric)
+    """Every edge in both directions, each once, cut to the ``m_max`` best of each node.
+
+    An edge that was found from both ends may have scores that differ in rounding; the better counts.
+    """
+    best = F.max("score") if higher_is_better(metric) else F.min("score")
+    both = edges.select("src", "dst", "score").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "score"))
+    return select_best(both.groupBy("src", "dst").agg(best.alias("score")), m_max, metric)
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -56,7 +60,7 @@ def beam_search(edges: DataFrame, points: DataFrame, q: list[float], entry, ef:
     and the walk ends when they bring nothing better. The driver holds the beam and the
     names of visited nodes, never the graph; ids that have no point are passed over.
     """
-    higher = Metric.of(metric) is Metric.COSINE
+    higher = higher_is_better(metric)
 
     def look(ids: list) -> list[tuple]:
         rows = points.where(F.col(id).isin(ids)).select(id, score(metric, F.col(vector), query_vector(q)).alias("s")).where("s is not null").collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .state import version_fold
+from .state import sequence_rows, version_fold
 
 #: Records of one log segment; truncation from the front drops whole segments.
 SEGMENT_RECORDS = 1000
@@ -44,8 +44,8 @@ def gaps(log: DataFrame, lsn: str = "lsn", records: int = SEGMENT_RECORDS) -> Da
     """``(after_lsn, next_lsn)`` where numbers are missing or repeat.
 
     Neighbours are compared inside segments, and the end of a segment with the start
-    of the following one by a join. Only segments that border a run of missing ones
-    are ordered among themselves.
+    of the following one by a join. Runs of present segments are numbered in parallel,
+    and each end is joined with the start of the next run.
     """
     inside = Window.partitionBy("seg").orderBy(lsn)
     rows = log.select(lsn, segment_of(lsn, records).alias("seg"))
@@ -54,13 +54,28 @@ def gaps(log: DataFrame, lsn: str = "lsn", records: int = SEGMENT_RECORDS) -> Da
     following = ends.select((F.col("seg") - 1).alias("seg"), F.col("lo").alias("next_lsn"))
     joined = ends.join(following, "seg", "left")
     between = joined.select(F.col("hi").alias("after_lsn"), "next_lsn")
-    tails = joined.where("next_lsn is null").select(F.col("hi").alias("after_lsn"), F.lit(True).alias("tail"))
-    heads = ends.join(ends.select((F.col("seg") + 1).alias("seg")), "seg", "left_anti").select(F.col("lo").alias("after_lsn"), F.lit(False).alias("tail"))
-    border = tails.unionByName(heads).withColumn("next_lsn", F.lead("after_lsn").over(Window.partitionBy(F.lit(0)).orderBy("after_lsn", "tail")))
-    across = border.where("tail and next_lsn is not null").select("after_lsn", "next_lsn")
+    # runs of present segments: the k-th ends before the k+1-th begins
+    tails = sequence_rows(joined.where("next_lsn is null").select(F.col("hi").alias("after_lsn")), 1, ["after_lsn"])
+    heads = ends.join(ends.select((F.col("seg") + 1).alias("seg")), "seg", "left_anti").select(F.col("lo").alias("next_lsn"))
+    across = tails.join(sequence_rows(heads, 0, ["next_lsn"]), "lsn").select("after_lsn", "next_lsn")
     return within.unionByName(between).unionByName(across).where(F.col("next_lsn") != F.col("after_lsn") + 1)
 
 
+def checksum(log: DataFrame, over: tuple[str, ...] = ("lsn", "op", "id", "vector", "payload")) -> Column:
+    """A checksum of each record, from those of the named columns that it has."""
+    return F.xxhash64(*[c for c in over if c in log.columns])
+
+
+def seal(log: DataFrame) -> DataFrame:
+    """Records with the checksum they are written with."""
+    return log.withColumn("checksum", checksum(log))
+
+
+def mark_corrupt(log: DataFrame) -> DataFrame:
+    """``_corrupt_record`` says what is wrong with a sealed record, null where nothing is."""
+    return log.withColumn("_corrupt_record", F.when(~F.col("checksum").eqNullSafe(checksum(log)), "checksum"))
+
+
 def valid_prefix(log: DataFrame, corrupt: str = "_corrupt_record", lsn: str = "lsn", records: int = SEGMENT_RECORDS) -> DataFrame:
     """Of each segment the records before its first corrupt one."""
     seg = log.withColumn("__seg", segment_of(lsn, records))

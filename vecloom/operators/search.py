@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import Metric, best_first, finite, norm, score
 from ..functions.payload import matches
+from ..schema import InvalidArgument
 from .blocks import BLOCK, by_block
 
 #: How many rows a filtered search of the post mode looks at.
@@ -36,7 +37,7 @@ QUERY_BLOCK = 4096
 COLUMN_QUERIES = 64
 
 
-class DimensionMismatch(ValueError):
+class DimensionMismatch(InvalidArgument, ValueError):
     def __init__(self, expected: int, actual: int):
         super().__init__(f"Dimension mismatch: expected {expected}, got {actual}")
 
@@ -97,6 +98,8 @@ def knn_batch(points: DataFrame, queries: DataFrame, k: int, metric: Metric | st
     side is collected. A task returns at most ``k`` rows a query (and ties of the last).
     """
     metric = Metric.of(metric)
+    if not isinstance(metric, Metric):
+        raise ValueError(f"{metric.value} is scored by columns: use knn or knn_batch_columns")
     id_type, qid_type = points.schema[id].dataType.simpleString(), queries.schema[qid].dataType.simpleString()
     own = F.lit(0).cast("bigint") if group is None else F.xxhash64(group)
     base = points.select(F.col(id).alias("id"), F.col(vector).alias("vector"), own.alias("grp"))

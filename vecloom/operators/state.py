@@ -89,7 +89,12 @@ def batch_result(status: DataFrame, order: str = "pos") -> DataFrame:
 
 
 def sequence_rows(rows: DataFrame, base: int, order: list[str]) -> DataFrame:
-    """``lsn = base + row``: dense numbers in the order given, ranges numbered in parallel.
+    """``lsn = base + row``: dense numbers in the order given, ranges numbered in parallel."""
+    return numbered_rows(rows, base, order)[0]
+
+
+def numbered_rows(rows: DataFrame, base: int, order: list[str]) -> tuple[DataFrame, int, DataFrame]:
+    """:func:`sequence_rows`, the number of rows, and the written table they are read from.
 
     Rows are range-partitioned and written once, so that counts and numbers see the
     same ranges; only one count a range reaches the driver, and no task sees all rows.
@@ -103,4 +108,5 @@ def sequence_rows(rows: DataFrame, base: int, order: list[str]) -> DataFrame:
         start += counts[part]
     offsets = F.broadcast(rows.sparkSession.createDataFrame(starts or [(0, base)], "__part int, __base bigint"))
     place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return placed.withColumn("__row", place).join(offsets, "__part").withColumn("lsn", F.col("__base") + F.col("__row")).drop("__part", "__row", "__base")
+    numbered = placed.withColumn("__row", place).join(offsets, "__part").withColumn("lsn", F.col("__base") + F.col("__row")).drop("__part", "__row", "__base")
+    return numbered, start - base, placed

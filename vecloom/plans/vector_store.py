@@ -14,9 +14,15 @@ from ..functions.distance import band, cosine, dot, heap_score, l2, norm, percen
 from ..functions.payload import canonical_json, field, field_names, matches
 from ..operators import explore, graph, search, state
 from ..operators import log as wal
-from ..runtime import scratch_path, table
+from ..runtime import materialize, scratch_path, table
+from ..schema import GraphConfig
 from ..sources import points as src
-from ..sources.store import Engine
+from ..sources.store import Engine, snapshot_name
+
+_GRAPH_STORE = """WITH p AS (SELECT CAST(vec_id AS VARCHAR) AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE NOT (vec_id < 100 AND vec_id % 7 = 0)),
+    e AS (SELECT a.id AS src, b.id AS dst, list_cosine_similarity(a.v, b.v) AS s FROM p a JOIN p b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY s DESC, b.id) <= 3),
+    two AS (SELECT src, dst, round(s, 12) AS s FROM e UNION SELECT dst, src, round(s, 12) FROM e)
+    SELECT src, dst FROM two QUALIFY row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) <= 32"""
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -270,8 +276,10 @@ def log_suffix_truncate(spark, d):
 
 @query(_LOG + ", bad AS (SELECT lsn // 1000 AS seg, min(lsn) AS b FROM log WHERE id = 1 GROUP BY seg) SELECT lsn FROM log LEFT JOIN bad ON lsn // 1000 = seg WHERE b IS NULL OR lsn < b")
 def log_valid_prefix(spark, d):
-    log = _log(spark, d).withColumn("_corrupt_record", F.when(F.col("id") == 1, F.lit("x")))
-    return wal.valid_prefix(log).select("lsn")
+    """Records of one id are altered after they were sealed; their checksums give them away."""
+    sealed = wal.seal(_log(spark, d).drop("ts"))
+    altered = sealed.withColumn("payload", F.when(F.col("id") == 1, F.concat(F.coalesce("payload", F.lit("")), F.lit(" "))).otherwise(F.col("payload")))
+    return wal.valid_prefix(wal.mark_corrupt(altered)).select("lsn")
 
 
 @query(_ALIVE + " SELECT id, lsn, nullif(n - bare::INT, 0) AS version, payload FROM alive WHERE back = 1")
@@ -353,20 +361,65 @@ def log_append_sequence(spark, d):
     return state.sequence_rows(rows, 100, ["pos"]).select("lsn", "event_id")
 
 
-@query("SELECT count(*) AS n, min(len(embedding)) AS dim, count(DISTINCT vec_id % 4) AS segments, CAST(sum(len(embedding) * 4 + 1) AS BIGINT) AS ram_bytes FROM embeddings")
+def _segmented(spark, d) -> Engine:
+    """A collection of the embeddings in four segments."""
+    engine = Engine(spark, scratch_path(spark, "engine"))
+    engine.create_collection("docs", 64, "COSINE")
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), F.lit(None).cast("string").alias("payload"))
+    for segment in range(4):
+        engine.upsert("docs", rows.where(F.col("pos") % 4 == segment))
+        if segment < 3:
+            engine.add_segment("docs")
+    return engine
+
+
+@query("SELECT 'docs' AS name, 64 AS dim, 'COSINE' AS metric, 'GREEN' AS status, count(*) AS n, count(DISTINCT vec_id % 4) AS segments, CAST(sum(len(embedding) * 4 + 1) AS BIGINT) AS ram_bytes FROM embeddings")
 def collection_stats(spark, d):
-    e = table(spark, d, "embeddings")
-    return e.agg(F.count("*").alias("n"), F.min(F.size("embedding")).cast("bigint").alias("dim"), F.count_distinct(F.col("vec_id") % 4).alias("segments"), F.sum(F.size("embedding") * 4 + 1).alias("ram_bytes"))
+    info = _segmented(spark, d).describe("docs")
+    return spark.createDataFrame([(info["name"], info["dim"], info["metric"], info["status"], info["count"], info["segments"], info["ram_bytes"])], "name string, dim int, metric string, status string, n bigint, segments bigint, ram_bytes bigint")
 
 
-@query("SELECT vec_id % 4 AS segment_id, count(*) AS n, CAST(sum(len(embedding) * 4 + 1) AS BIGINT) AS ram_bytes FROM embeddings GROUP BY ALL")
+@query("SELECT CAST(vec_id % 4 AS INT) AS segment_id, count(*) AS n, CAST(sum(len(embedding) * 4 + 1) AS BIGINT) AS ram_bytes FROM embeddings GROUP BY ALL")
 def segment_stats(spark, d):
-    return table(spark, d, "embeddings").groupBy((F.col("vec_id") % 4).alias("segment_id")).agg(F.count("*").alias("n"), F.sum(F.size("embedding") * 4 + 1).alias("ram_bytes"))
+    return _segmented(spark, d).segment_stats("docs")
 
 
-@query("SELECT name, dim, metric, m, m_max0, ef_construction, coalesce(ef_search, 50) AS ef_search FROM collections")
+@query("SELECT name, 0::BIGINT AS count, 'GREEN' AS status, dim, metric FROM collections")
 def catalog_list(spark, d):
-    return table(spark, d, "collections").select("name", "dim", "metric", "m", "m_max0", "ef_construction", F.coalesce("ef_search", F.lit(50)).alias("ef_search"))
+    """The collections of the table, created in a store and listed by it."""
+    engine = Engine(spark, scratch_path(spark, "engine"))
+    for c in table(spark, d, "collections").collect():
+        engine.create_collection(c["name"], c["dim"], c["metric"], GraphConfig(c["dim"], c["m"], c["m_max0"], c["ef_construction"], c["ef_search"] or 50))
+    return engine.describe_all()
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS point_id, 'OK' AS status_code FROM embeddings WHERE vec_id < 100 AND vec_id % 7 = 0 UNION ALL SELECT 'never seen', 'NOT_FOUND'")
+def engine_delete_again(spark, d):
+    """Deletes of points that were deleted before a checkpoint: they are remembered."""
+    engine = _engine(spark, d)
+    engine.checkpoint("docs")
+    return engine.delete("docs", [*(str(i) for i in range(0, 100, 7)), "never seen"]).select("point_id", "status_code")
+
+
+@query("SELECT count(*) - 3 AS kept, 3::BIGINT AS cut FROM (SELECT 1 FROM embeddings UNION ALL SELECT 1 FROM embeddings WHERE vec_id % 10 = 3 UNION ALL SELECT 1 FROM embeddings WHERE vec_id < 100 AND vec_id % 7 = 0)")
+def engine_repair(spark, d):
+    """The last three records of a log are damaged on disk, found by their checksums and cut."""
+    engine = _engine(spark, d)
+    parts = engine._meta("docs")["parts"]
+    at = f"{engine._dir('docs')}/log/part={parts - 1}"
+    rows = materialize(engine.spark.read.parquet(at), "damage")
+    top = rows.agg(F.max("lsn")).first()[0]
+    rows.withColumn("id", F.when(F.col("lsn") > top - 3, F.concat(F.col("id"), F.lit("?"))).otherwise(F.col("id"))).write.mode("overwrite").parquet(at)
+    cut = engine.repair("docs")
+    return engine.log("docs").agg(F.count("*").alias("kept")).withColumn("cut", F.lit(cut).cast("bigint"))
+
+
+@query(_GRAPH_STORE)
+def engine_graph(spark, d):
+    """The stored neighbour graph of a collection."""
+    engine = _engine(spark, d)
+    engine.build_graph("docs", 3)
+    return engine.graph("docs").select("src", "dst")
 
 
 def _engine(spark, d) -> Engine:
@@ -407,12 +460,16 @@ def snapshot_roundtrip(spark, d):
     return _stored(engine.points("copy"))
 
 
-@query("SELECT 0::BIGINT AS differing")
+@query("SELECT CAST(vec_id AS VARCHAR) AS id, CASE WHEN vec_id % 10 = 3 THEN 2 ELSE 1 END::BIGINT AS was, CASE WHEN vec_id % 5 = 1 THEN NULL WHEN vec_id % 10 = 3 THEN 3 END::BIGINT AS now FROM embeddings WHERE NOT (vec_id < 100 AND vec_id % 7 = 0) AND vec_id >= 400 AND (vec_id % 5 = 1 OR vec_id % 10 = 3)")
 def snapshot_diff(spark, d):
+    """A snapshot beside the collection that has moved on: versions of points that changed or went."""
     engine = _engine(spark, d)
     engine.create_snapshot("docs", "s1")
-    now, kept = engine.points("docs").drop("vector"), engine.read_snapshot("docs", "s1").drop("vector")
-    return now.exceptAll(kept).unionByName(kept.exceptAll(now)).agg(F.count("*").alias("differing"))
+    rows = table(spark, d, "embeddings").where("vec_id >= 400").select(F.col("vec_id").alias("pos"), F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), F.to_json(F.struct("label")).alias("payload"))
+    engine.upsert("docs", rows.where("pos % 10 = 3"))
+    engine.delete("docs", [r["id"] for r in rows.where("pos % 5 = 1").select("id").collect()])
+    kept, now = engine.read_snapshot("docs", "s1").select("id", F.col("version").alias("was")), engine.points("docs").select("id", F.col("version").alias("now"))
+    return kept.join(now, "id", "left").where(~F.col("was").eqNullSafe(F.col("now")))
 
 
 @query(f"{_PTS}, s AS (SELECT vec_id, label, {_COS} AS score FROM pts, q WHERE NOT (vec_id < 100 AND vec_id % 7 = 0) AND label = 3) SELECT CAST(vec_id AS VARCHAR) AS id, round(score, 6) + 0 AS score, CASE WHEN vec_id % 10 = 3 THEN 2 ELSE 1 END::BIGINT AS version FROM s ORDER BY s.score DESC, id LIMIT 5")
@@ -507,11 +564,12 @@ def parse_points_json(spark, d):
     return rows.select(F.inline(src.parse_points_json(F.col("text")))).select("pos", "id", "payload", "error")
 
 
-@query("SELECT vec_id, strftime(TIMESTAMP '2024-01-02 03:04:05', 'docs_%Y%m%d_%H%M%S') AS name, printf('(%.4f, %.4f)', embedding[1]::DOUBLE, embedding[2]::DOUBLE) AS place FROM embeddings")
+@query("SELECT vec_id, strftime(TIMESTAMP '2024-01-02 03:04:05', 'docs_%Y%m%d_%H%M%S') AS name, printf('ID: %d<br>(%.4f, %.4f)<br>score: %.4f', vec_id, embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE) AS hover FROM embeddings")
 def labels_and_names(spark, d):
     e = table(spark, d, "embeddings")
-    name = F.date_format(F.lit("2024-01-02 03:04:05").cast("timestamp"), "'docs_'yyyyMMdd_HHmmss")
-    return e.select("vec_id", name.alias("name"), F.format_string("(%.4f, %.4f)", F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")).alias("place"))
+    place = lambda i: F.col("embedding")[i].cast("double")
+    name = snapshot_name(F.lit("docs"), F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    return e.select("vec_id", name.alias("name"), explore.hover_text(F.col("vec_id"), place(0), place(1), place(2)).alias("hover"))
 
 
 @query("SELECT vec_id, label FROM embeddings ORDER BY vec_id LIMIT 1000")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _MADE: list[str] = []
+#: Names that :func:`scratch_path` gives.
+_SCRATCH = re.compile(r"-[0-9a-f]{32}$")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,7 +66,7 @@ def drop_table(df: DataFrame) -> None:
     jvm = df.sparkSession._jvm
     hconf = df.sparkSession._jsc.hadoopConfiguration()
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/vecloom/" in parent:
+        if "/vecloom/" in parent and _SCRATCH.search(parent):
             path = jvm.org.apache.hadoop.fs.Path(parent)
             path.getFileSystem(hconf).delete(path, True)
 

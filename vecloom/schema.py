@@ -43,8 +43,13 @@ class CorruptData(EngineError):
     http = 500
 
 
-class StorageFull(EngineError):
-    http = 507
+#: The status codes of single points and of whole calls.
+STATUS_OF_HTTP = {200: "OK", 400: "INVALID_ARGUMENT", 404: "NOT_FOUND", 409: "ALREADY_EXISTS", 500: "INTERNAL"}
+
+
+def status_of(wrong: Exception | None) -> str:
+    """The status code a call that ended with ``wrong`` answers with; what is no error kind of the engine is internal."""
+    return STATUS_OF_HTTP[200 if wrong is None else wrong.http if isinstance(wrong, EngineError) else 400 if isinstance(wrong, ValueError) else 500]
 
 
 @dataclass(frozen=True)
@@ -95,7 +100,3 @@ class Collection:
 
     def to_json(self) -> dict:
         return asdict(self)
-
-    @classmethod
-    def from_json(cls, kept: dict) -> "Collection":
-        return cls(**{**kept, "config": GraphConfig(**kept["config"])})

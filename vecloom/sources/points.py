@@ -41,11 +41,29 @@ def parse_points_json(text: Column) -> Column:
 
 
 def read_points_json(spark: SparkSession, path: str) -> DataFrame:
-    """Rows ``(file, pos, id, vector, payload, error)`` of files that each hold one JSON array."""
+    """Rows ``(file, pos, id, vector, payload, error)`` of files that each hold one JSON array.
+
+    Such a file is one value and is parsed by one task, whatever its size: files are
+    the unit of parallel reading here. For large inputs write a point a line and use
+    :func:`read_points_lines`, which splits files.
+    """
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), parse_points_json(F.col("value")).alias("items"))
     return whole.select("file", F.inline("items"))
 
 
+def read_points_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Rows ``(file, id, vector, payload, error)`` of files with a point a line, also as an array
+    whose elements stand on lines of their own; files are split, blank lines and the brackets left out."""
+    line = F.regexp_replace(F.trim("value"), ",$", "")
+    rows = spark.read.text(path).select(F.input_file_name().alias("file"), line.alias("line")).where(~F.col("line").isin("", "[", "]"))
+    item = F.coalesce(parse_points_json(F.concat(F.lit("["), F.col("line"), F.lit("]"))), F.array(_no_item("line is no JSON")))
+    return rows.select("file", F.inline(item)).drop("pos")
+
+
+def _no_item(error: str) -> Column:
+    return F.struct(F.lit(0).alias("pos"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("string").alias("payload"), F.lit(error).alias("error"))
+
+
 def synthetic_vectors(spark: SparkSession, n: int, dim: int, seed: int = 42, prefix: str = "vec_", digits: int | None = 4) -> DataFrame:
     """``n`` points of uniform numbers in [-1, 1); each number follows from seed, row and place alone."""
     unit = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("n"), i), F.lit(1 << 40)) / float(1 << 39) - 1
