@@ -3,9 +3,9 @@ import collections
 import numpy as np
 import pytest
 
-from vecloom.llm.density import DensityPeaks, learn_pivots
+from vecloom.llm.density import DensityPeaks, all_pivots, learn_pivots
 from vecloom.llm.mih import _codes, centred_flips, learn_rotations, measured_recall, neighbours, similar_pairs, table_plan
-from vecloom.llm.vectors import valid_points
+from vecloom.llm.vectors import Classes, valid_points
 
 SCHEMA = "collection_name string, id string, vector array<float>, payload string, version bigint, segment_id int, pid string, key int, weight string"
 NAN = float("nan")
@@ -132,6 +132,36 @@ def test_clusters_are_the_linked_groups(spark, rows, block):
     assert sum(r["size"] for r in described) == len(want) and all(1 <= len(r.typical) <= 3 and r.peaks >= 1 for r in described)
 
 
+def test_basins_end_at_the_densest_point(spark, rows):
+    peaks = DensityPeaks(frame(spark, rows))
+    got = {(r.collection_name, r.id): (r.peak_id, r.density) for r in peaks.basins().collect()}
+    want = clean(rows)
+    assert set(got) == {(c, i) for c, p in want.items() for i in p}
+    for c, points in want.items():
+        ids = sorted(points)
+        x = np.stack([points[i] for i in ids])
+        near = (x @ x.T >= 0.80) & ~np.eye(len(ids), dtype=bool)
+        density = dict(zip(ids, near.sum(axis=1)))
+        assert all(got[c, i][1] == density[i] for i in ids)
+        # whoever is densest among its neighbours is a peak, everybody else ends at a denser one
+        for a, i in enumerate(ids):
+            around = [density[ids[b]] for b in np.flatnonzero(near[a])]
+            if all(density[i] > d for d in around):
+                assert got[c, i][0] == i
+            assert density[got[c, i][0]] >= density[i]
+
+
+def test_pivots_follow_the_data(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((60, 64))
+    rows = [["c", f"p{g:02d}-{i}", (c + 0.3 * rng.standard_normal(64)).tolist(), 1] for g, c in enumerate(centres) for i in range(8)]
+    classes = Classes(frame(spark, rows))
+    whole = classes.sample
+    # a sample of a fraction of the rows sees few of the groups; the points it leaves are sampled again
+    classes.sample = lambda **k: whole(rows=240, **k)
+    assert len(learn_pivots(classes.sample())) < 50 <= len(all_pivots(classes))
+
+
 def test_a_chain_is_one_cluster(spark):
     # each point is near its two neighbours only
     angle = [[float(np.cos(k * 0.55)), float(np.sin(k * 0.55)), *[0.0] * 62] for k in range(6)]

@@ -39,6 +39,11 @@ def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("collection_name", "cluster_id", "size", F.array_join("typical", " ").alias("typical"))
 
 
+def p3_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The density peak every point ends at."""
+    return DensityPeaks(table(spark, sf_dir, "points")).basins()
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text; null and empty texts give empty lists."""
     return encode(table(spark, sf_dir, "documents"))
@@ -72,7 +77,7 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(table(spark, sf_dir, "documents")).coverage().withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p2_recall, p3_found, p3_clusters, p6_ids, p6_decoded, p7_found, p7_items, p8_found, p8_coverage)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p2_recall, p3_found, p3_clusters, p3_peaks, p6_ids, p6_decoded, p7_found, p7_items, p8_found, p8_coverage)}
 
 _VALID = """
         WITH RECURSIVE valid AS (

@@ -52,10 +52,15 @@ class Classes:
         place = F.row_number().over(Window.partitionBy("pid").orderBy("id"))
         return self.members.select("pid", "id").withColumn("place", place).where(F.col("place") <= count).drop("place")
 
-    def sample(self, rows: int = SAMPLE_ROWS) -> np.ndarray:
-        """Unit vectors of at most ``rows`` classes, the same rows for the same table."""
-        order = F.xxhash64("collection_name", "vector")
-        picked = self.reps.select("vector", order.alias("place")).orderBy("place").limit(rows).select("vector").toArrow()
+    def sample(self, rows: int = SAMPLE_ROWS, away=None) -> np.ndarray:
+        """Unit vectors of at most ``rows`` classes, the same rows for the same table.
+
+        ``away`` is a map over ``(place, vector)`` that leaves the classes to sample from.
+        """
+        placed = self.reps.select(F.xxhash64("collection_name", "vector").alias("place"), "vector")
+        if away is not None:
+            placed = placed.mapInArrow(away, "place bigint, vector array<float>")
+        picked = placed.orderBy("place").limit(rows).select("vector").toArrow()
         return unit(vectors(picked.column(0).combine_chunks())) if picked.num_rows else np.zeros((0, DIM))
 
 
