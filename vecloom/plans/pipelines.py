@@ -39,12 +39,14 @@ def p4_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The points table, linked to requests by ``request_id``."""
-    return sh.entity_table(_nodes(spark, sf_dir), "", ("#id", "#version", *sh.ENTITY_FIELDS[""])).drop("parent_entity", "positions")
+    return sh.entity_table(_nodes(spark, sf_dir), "", ("#id", "#version", *sh.ENTITY_FIELDS[""])).drop("node", "parent_entity", "positions")
 
 
 def _entity(child_path: str, doc: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return sh.entity_table(_nodes(spark, sf_dir), child_path)
+        rows = sh.entity_table(_nodes(spark, sf_dir), child_path)
+        # the places in the lists name an object and its parent in every run
+        return rows.withColumn("parent_positions", F.regexp_replace("positions", r"\.?\d+$", "")).drop("node", "parent_entity")
 
     query.__doc__ = doc
     return query
@@ -79,6 +81,70 @@ _SNAPSHOT_SQL = """
         WHERE timestamp_utc IS NOT NULL AND snapshot_name IS NOT NULL GROUP BY ALL
     ), placed AS (SELECT *, row_number() OVER (PARTITION BY collection_name ORDER BY t, snapshot_name) - 1 AS place FROM snaps)"""
 
+_PAYLOADS_SQL = """bodies AS (
+            SELECT request_id, CAST(any_value(body) AS JSON) AS b FROM upsert_requests WHERE body IS NOT NULL AND json_valid(body) GROUP BY request_id
+        ), lists AS (
+            SELECT request_id, CASE WHEN json_type(b) = 'ARRAY' THEN b WHEN json_exists(b, '$.points') THEN b->'points'
+                   WHEN json_exists(b, '$.vectors') THEN b->'vectors' ELSE json_array(b) END AS l FROM bodies
+        ), points AS (
+            SELECT request_id, CAST(e.key AS BIGINT) AS point_pos, e.value AS p
+            FROM lists, json_each(CASE WHEN json_type(l) = 'ARRAY' THEN l ELSE json_array(l) END) e WHERE json_type(e.value) = 'OBJECT'
+        ), payloads AS (
+            SELECT request_id, point_pos, CASE WHEN json_type(v) <> 'VARCHAR' THEN v WHEN json_valid(v->>'$') THEN CAST(v->>'$' AS JSON) END AS v
+            FROM (SELECT request_id, point_pos, CASE WHEN coalesce(json_type(p->'payload'), 'NULL') <> 'NULL' THEN p->'payload' ELSE p->'metadata' END AS v FROM points)"""
+
+
+#: Entity tables by another way than the operator's: all nodes of a payload with their full names, wrapping taken out of the names.
+_NODES_SQL = f"""
+        WITH {_PAYLOADS_SQL}
+        ), roots AS (
+            SELECT request_id, point_pos, CASE WHEN json_keys(v) = ['fields'] AND json_type(v->'fields') = 'OBJECT' THEN v->'fields' ELSE v END AS v FROM payloads WHERE json_type(v) = 'OBJECT'
+        ), tree AS (
+            SELECT request_id, point_pos, t.type, t.value, t.atom, t.fullkey, regexp_replace(t.fullkey, '\\.(structValue(\\.fields)?|listValue(\\.values)?|stringValue|numberValue|boolValue|nullValue)', '', 'g') AS k
+            FROM roots, json_tree(roots.v) t
+        ), nodes AS (
+            SELECT * EXCLUDE (k), regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(k, '^(\\$\\.(owners|scans|history\\.moves))(\\.|$)', '\\1[0]\\3'),
+                '^(\\$\\.scans\\[\\d+\\]\\.regions)(\\.|$)', '\\1[0]\\2'), '^(\\$\\.scans\\[\\d+\\]\\.regions\\[\\d+\\]\\.readings)(\\.|$)', '\\1[0]\\2'),
+                '^(\\$\\.scans\\[\\d+\\]\\.regions\\[\\d+\\]\\.readings\\[\\d+\\]\\.fixes)(\\.|$)', '\\1[0]\\2'), '^\\$$', '$') AS k,
+                CASE WHEN type = 'NULL' OR fullkey LIKE '%.nullValue' THEN 'null' WHEN type = 'VARCHAR' THEN atom->>'$' ELSE CAST(atom AS VARCHAR) END AS text,
+                CASE WHEN type = 'NULL' OR fullkey LIKE '%.nullValue' THEN 'null' ELSE CAST(atom AS VARCHAR) END AS item,
+                type = 'OBJECT' AND fullkey NOT LIKE '%.listValue' AND NOT coalesce(json_keys(value) IN (['listValue'], ['nullValue'], ['numberValue'], ['stringValue'], ['boolValue']), FALSE) AS is_object
+            FROM tree
+        ), leaves AS (
+            SELECT request_id, point_pos, k, text, item, type = 'ARRAY' AND json_array_length(value) = 0 AS bare, fullkey LIKE '%.nullValue' OR type = 'NULL' AS nothing FROM nodes WHERE type NOT IN ('OBJECT', 'ARRAY') OR type = 'ARRAY' AND json_array_length(value) = 0
+        )"""
+
+
+def _fields_sql(pattern: str, fields: tuple[str, ...]) -> str:
+    """Grouped fields below the objects whose name matches ``pattern``."""
+    columns = ", ".join(
+        f"""coalesce(max(text) FILTER (WHERE rest = '{f}' AND NOT nothing AND NOT bare), '[' || string_agg(item, ',' ORDER BY nth) FILTER (WHERE stem = '{f}' AND nth IS NOT NULL) || ']',
+            max('[]') FILTER (WHERE rest = '{f}' AND bare)) AS "{f.replace('.', '_')}" """
+        for f in fields
+    )
+    return f"""
+        SELECT request_id, point_pos, k, {columns} FROM (
+            SELECT *, regexp_replace(rest, '\\[\\d+\\]$', '') AS stem, TRY_CAST(regexp_extract(rest, '\\[(\\d+)\\]$', 1) AS INT) AS nth
+            FROM (SELECT * EXCLUDE (k), regexp_extract(k, '^({pattern})\\.(.*)$', 1) AS k, regexp_extract(k, '^({pattern})\\.(.*)$', 2) AS rest FROM leaves WHERE regexp_matches(k, '^{pattern}\\.'))
+        ) GROUP BY request_id, point_pos, k"""
+
+
+def _entity_sql(path: str) -> str:
+    *above, last = path.split(".")
+    pattern = {"owners": "\\$\\.owners\\[\\d+\\]", "history.moves": "\\$\\.history\\.moves\\[\\d+\\]"}.get(path) or "\\$" + "".join(f"\\.{name}\\[\\d+\\]" for name in path.split("."))
+    names = ", ".join(f'"{f.replace(".", "_")}"' for f in sh.ENTITY_FIELDS[path])
+    places = "array_to_string(regexp_extract_all(k, '\\[(\\d+)\\]', 1), '.')"
+    return f"""{_NODES_SQL}, objects AS (SELECT DISTINCT request_id, point_pos, k FROM nodes WHERE is_object AND regexp_full_match(k, '{pattern}')),
+        fields AS ({_fields_sql(pattern, sh.ENTITY_FIELDS[path])})
+        SELECT request_id, point_pos, {places} AS positions, regexp_replace({places}, '\\.?\\d+$', '') AS parent_positions, {names}
+        FROM objects LEFT JOIN fields USING (request_id, point_pos, k)"""
+
+
+_POINTS_SQL = f"""{_NODES_SQL}, fields AS ({_fields_sql("\\$", sh.ENTITY_FIELDS[""])})
+        SELECT request_id, point_pos, CASE WHEN json_type(p->'id') IN ('OBJECT', 'ARRAY') THEN NULL ELSE p->>'id' END AS id, CASE WHEN json_type(p->'version') IN ('OBJECT', 'ARRAY') THEN NULL ELSE p->>'version' END AS version,
+        {", ".join(f'"{f.replace(".", "_")}"' for f in sh.ENTITY_FIELDS[""])}
+        FROM points LEFT JOIN fields USING (request_id, point_pos)"""
+
 SQL = {
     "p1_found": _LOG_SQL
     + " SELECT collection_name, id, max(seq) AS lsn, count(*) AS version FROM dead WHERE NOT del AND (tomb IS NULL OR seq > tomb) GROUP BY ALL",
@@ -90,25 +156,15 @@ SQL = {
         SELECT request_id, received_at, collection_name, client, n AS deliveries
         FROM (SELECT *, count(*) OVER (PARTITION BY request_id) AS n,
               row_number() OVER (PARTITION BY request_id ORDER BY body IS NULL, received_at IS NULL, received_at) AS k FROM upsert_requests) WHERE k = 1""",
-    "p4_found": """
-        WITH RECURSIVE bodies AS (
-            SELECT request_id, CAST(any_value(body) AS JSON) AS b FROM upsert_requests WHERE body IS NOT NULL AND json_valid(body) GROUP BY request_id
-        ), lists AS (
-            SELECT request_id, CASE WHEN json_type(b) = 'ARRAY' THEN b WHEN json_exists(b, '$.points') THEN b->'points'
-                   WHEN json_exists(b, '$.vectors') THEN b->'vectors' ELSE json_array(b) END AS l FROM bodies
-        ), points AS (
-            SELECT request_id, CAST(e.key AS BIGINT) AS point_pos, e.value AS p
-            FROM lists, json_each(CASE WHEN json_type(l) = 'ARRAY' THEN l ELSE json_array(l) END) e WHERE json_type(e.value) = 'OBJECT'
-        ), payloads AS (
-            SELECT request_id, point_pos, CASE WHEN json_type(v) <> 'VARCHAR' THEN v WHEN json_valid(v->>'$') THEN CAST(v->>'$' AS JSON) END AS v
-            FROM (SELECT request_id, point_pos, CASE WHEN coalesce(json_type(p->'payload'), 'NULL') <> 'NULL' THEN p->'payload' ELSE p->'metadata' END AS v FROM points)
+    "p4_found": f"""
+        WITH RECURSIVE {_PAYLOADS_SQL}
         ), walk AS (
             SELECT request_id, point_pos, CASE WHEN json_keys(v) = ['fields'] AND json_type(v->'fields') = 'OBJECT' THEN v->'fields' ELSE v END AS v,
                    '' AS path, '' AS positions, FALSE AS element, FALSE AS listed
             FROM payloads WHERE json_type(v) = 'OBJECT'
             UNION ALL
             SELECT request_id, point_pos,
-                   CASE WHEN json_exists(x, '$.structValue') THEN coalesce(x->'structValue'->'fields', '{}'::JSON)
+                   CASE WHEN json_exists(x, '$.structValue') THEN coalesce(x->'structValue'->'fields', '{{}}'::JSON)
                         WHEN json_exists(x, '$.listValue') THEN coalesce(x->'listValue'->'values', '[]'::JSON) ELSE x END AS v,
                    path, positions, element, listed
             FROM (
@@ -148,3 +204,5 @@ SQL = {
             JOIN rows o ON o.collection_name = p.collection_name AND o.place = p.place - 1 AND o.id = n.id
             WHERE n.vector IS DISTINCT FROM o.vector OR n.leaves IS DISTINCT FROM o.leaves""",
 }
+
+SQL |= {"p4_points": _POINTS_SQL} | {"p4_" + path.rsplit(".", 1)[-1]: _entity_sql(path) for path in sh.LIST_PATHS}
