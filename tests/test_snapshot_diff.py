@@ -45,3 +45,17 @@ def test_ordinals_are_kept(spark):
     assert len(new) == 100 and len(set(new.values())) == 100 and all(new[k] == v for k, v in old.items())
     points = [("c", "s1", f"k{i}", [1.0], None, 1) for i in range(50)] + [("c", "s2", f"k{i}", [1.0], None, 1) for i in range(10, 60)]
     assert run(spark, points, TIMES[:2], second) == {("c", "s2", f"k{i}", "removed") for i in range(10)} | {("c", "s2", f"k{i}", "added") for i in range(50, 60)}
+
+
+def test_ordinals_are_stored(spark, tmp_path):
+    keep = f"file://{tmp_path}/ordinals"
+    points = [("c", "s1", f"k{i}", [1.0], None, 1) for i in range(50)]
+    more = points + [("c", "s2", f"k{i}", [1.0], None, 1) for i in range(10, 60)]
+    frame = lambda rows: spark.createDataFrame(rows, "collection_name string, snapshot_name string, id string, vector array<float>, payload string, version bigint")
+    manifests = spark.createDataFrame([("c", "s1", "2024-01-01T00:00:00Z"), ("c", "s2", "2024-01-02T00:00:00Z")], "collection_name string, snapshot_name string, timestamp_utc string")
+    assert sd.diff(frame(points), manifests, keep=keep).where("change <> 'removed'").count() == 0
+    first, path = sd.kept_ordinals(spark, keep)
+    assert path.endswith("/v2") and first.count() == 50
+    assert sd.diff(frame(more), manifests, keep=keep).count() == 20
+    old, new = ({r.id: (r.bucket, r.ordinal) for r in df.collect()} for df in (first, sd.kept_ordinals(spark, keep)[0]))
+    assert len(new) == 60 and all(new[k] == v for k, v in old.items())

@@ -8,8 +8,8 @@ removals, and the aligned digests expose changes among common keys. The word joi
 moves one row for up to 64 keys; contents never travel, only their digests.
 
 Ordinals are given per hash bucket (``bucket``, then the place in it), so no task
-sees all keys, and an ordinal once given is kept: pass the former table as
-``known`` and new keys continue behind the old ones.
+sees all keys, and an ordinal once given is kept: :func:`diff` stores the table at
+``keep`` and continues behind it the next time.
 
 Defined cases. A snapshot is a collection and a name; manifests without a time
 cannot be ordered and are left out, and so are points of unknown snapshots. Equal
@@ -21,7 +21,7 @@ an empty one. A first snapshot gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.payload import canonical_json
@@ -85,10 +85,30 @@ def snapshot_bitmaps(points: DataFrame, ordinals: DataFrame, order: DataFrame) -
     return grouped
 
 
-def diff(points: DataFrame, manifests: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """``(collection_name, snapshot_name, id, change)`` between consecutive snapshots."""
+def kept_ordinals(spark: SparkSession, keep: str) -> tuple[DataFrame | None, str]:
+    """The newest complete table of ordinals at ``keep``, and where the next one belongs."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(keep).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(at(keep))] if fs.exists(at(keep)) else []
+    numbers = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()]
+    whole = [n for n in numbers if fs.exists(at(f"{keep}/v{n}/_SUCCESS"))]
+    return spark.read.parquet(f"{keep}/v{max(whole)}") if whole else None, f"{keep}/v{max(numbers, default=0) + 1}"
+
+
+def diff(points: DataFrame, manifests: DataFrame, known: DataFrame | None = None, keep: str | None = None) -> DataFrame:
+    """``(collection_name, snapshot_name, id, change)`` between consecutive snapshots.
+
+    ``keep`` is a folder for the ordinals: those in it are continued, and a new version
+    is written beside the old ones. Without it ``known`` may give former ordinals.
+    """
     order = materialize(snapshot_order(manifests), "snapshot-order")
-    ordinals = materialize(key_ordinals(points.where("id is not null"), known), "ordinals")
+    keys = points.where("id is not null")
+    if keep is None:
+        ordinals = materialize(key_ordinals(keys, known), "ordinals")
+    else:
+        known, path = kept_ordinals(points.sparkSession, keep)
+        key_ordinals(keys, known).write.parquet(path)
+        ordinals = points.sparkSession.read.parquet(path)
     words = materialize(snapshot_bitmaps(points, ordinals, order), "bitmaps")
     # every word takes part as the later side of its snapshot and the earlier side of the next
     later = words.select(*_WORD, "place", F.col("bits").alias("b1"), F.col("digests").alias("d1"))

@@ -42,8 +42,22 @@ def _clean() -> None:
         shutil.rmtree(path, ignore_errors=True)
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/vecloom/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/vecloom/{what}-{uuid.uuid4().hex}"
+    return f"{_scratch_root(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete everything this application has below the shared folder, once no result is read any more.
+
+    Operators drop the tables that their results do not read; the others stay until
+    this call, as only the caller knows when a result has been used.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, what: str, partition_by: list[str] | None = None) -> DataFrame:
