@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import broadcast_if_small, materialize, spread
+from ..runtime import broadcast_if_small, drop_table, materialize, spread
 from .leak_text import Page, longest_run, passage_words, places, shingles
 
 MIN_WORDS = 13
@@ -124,6 +124,8 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     near = F.exists(F.sequence(F.lit(0), F.size("ats") - overlap), lambda i: F.col("ats")[i + overlap - 1] - F.col("ats")[i] < min_words)
     bounded = shared.where(F.col("letters") >= F.floor(F.col("least") * SURVIVE)).groupBy("doc", "unit").agg(F.array_sort(F.collect_set("at")).alias("ats"))
     bounded = materialize(bounded.where(F.size("ats") >= overlap).where(near).select("doc", "unit"), "leak-candidates")
+    drop_table(hits)
+    drop_table(own)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

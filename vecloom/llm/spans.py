@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..operators.blocks import hot_keys, tiled
 from ..operators.components import connected_components
-from ..runtime import materialize, spread
+from ..runtime import drop_table, materialize, spread
 
 SPAN = 300
 #: Shingles nearly as long as the span keep collisions of shorter boilerplate out.
@@ -177,6 +177,7 @@ class SharedSpans:
             F.substring("text", F.col("pos") + k + 1, F.lit(reach)).alias("right"),
         ).dropDuplicates(["rep", "pos", "sig"])
         piece = materialize(piece.withColumn("key", F.xxhash64("digest")).withColumn("pid", F.xxhash64("rep")), "span-pieces")
+        drop_table(sigs)
         # a piece that stands on very many pages is many tasks: a pair of tiles each
         piece = tiled(piece, hot_keys(piece.select("key"), self.tile), self.tile)
         same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "lo", "hi", "digest")]
