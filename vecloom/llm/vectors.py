@@ -19,12 +19,24 @@ DIM = 64
 #: Rows of the sample that rotations and pivots are learned from (an index is fitted
 #: on it; every row is indexed). The rows of smallest hash, so a fixed random subset.
 SAMPLE_ROWS = 8192
+#: Names of points with several rows that are sent to all tasks, in bytes; more are joined by a shuffle.
+NAMES_BYTES = 32 << 20
 
 
 def valid_points(points: DataFrame, dim: int = DIM) -> DataFrame:
-    """``(collection_name, id, vector)``, one row a point that takes part."""
+    """``(collection_name, id, vector)``, one row a point that takes part.
+
+    Rows are counted by name first, which moves no vectors; only those of points with
+    several rows are grouped. Their names are measured and, if few, sent to all tasks.
+    """
+    rows = points.where("collection_name is not null and id is not null").select("collection_name", "id", "version", "vector")
+    name = ["collection_name", "id"]
+    several = materialize(rows.groupBy(*name).agg(F.count("*").alias("n")).where("n > 1").select(*name), "repeated-names")
+    measured = several.agg(F.coalesce(F.sum(F.octet_length("collection_name") + F.octet_length("id") + 64), F.lit(0))).first()[0]
+    several = F.broadcast(several) if measured <= NAMES_BYTES else several
     top = F.max(F.struct(F.coalesce("version", F.lit(-(1 << 62))).alias("v"), F.col("vector"))).alias("top")
-    one = points.where("collection_name is not null and id is not null").groupBy("collection_name", "id").agg(top).select("collection_name", "id", "top.vector")
+    many = rows.join(several, name, "left_semi").groupBy(*name).agg(top).select(*name, "top.vector")
+    one = rows.join(several, name, "left_anti").select(*name, "vector").unionByName(many)
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return one.where((F.size("vector") == dim) & finite & F.exists("vector", lambda x: x != 0))
 
