@@ -344,6 +344,25 @@ def validate_points(spark, d):
     return state.validate_points(_bad_batch(spark), 3)
 
 
+@query("""SELECT id AS point_id, CASE WHEN e IS NULL AND p IS NULL THEN 'OK' ELSE 'INVALID_ARGUMENT' END AS status_code, coalesce(e, p) AS error_message, e IS NOT NULL AS rejects_batch FROM (
+    SELECT id, CASE WHEN coalesce(id, '') = '' THEN 'Point ID cannot be empty' WHEN vector IS NULL THEN 'Vector is missing for point ID ''' || id || ''''
+        WHEN len(vector) <> 64 THEN 'Dimension mismatch for point ID ''' || id || ''': expected 64, got ' || len(vector) END AS e,
+        CASE WHEN payload IS NOT NULL AND NOT json_valid(payload) THEN 'Invalid payload for point ID ''' || id || '''' END AS p FROM points)""")
+def validate_table(spark, d):
+    """The whole export as one batch."""
+    rows = table(spark, d, "points").withColumn("pos", F.monotonically_increasing_id())
+    return state.validate_points(rows, 64).drop("pos")
+
+
+@query("""SELECT collection_name, count(DISTINCT leaves) AS n_values, count(leaves) AS n_payloads FROM (SELECT collection_name, CASE WHEN payload IS NOT NULL THEN (
+        SELECT list_sort(list(fullkey || ' ' || CASE WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') THEN 'n' || CAST(CAST(atom AS DOUBLE) AS VARCHAR) ELSE type || coalesce(json_extract_string(atom, '$'), '') END))
+        FROM json_tree(s.payload)) END AS leaves FROM snapshot_points s) GROUP BY collection_name""")
+def payload_values(spark, d):
+    """How many different payloads each collection's snapshots hold, however they are written."""
+    rows = table(spark, d, "snapshot_points").select("collection_name", canonical_json(F.col("payload")).alias("c"))
+    return rows.groupBy("collection_name").agg(F.count_distinct("c").alias("n_values"), F.count("c").alias("n_payloads"))
+
+
 @query("SELECT TRUE AS rejected, 2::BIGINT AS succeeded, 4::BIGINT AS failed, 'Dimension mismatch for point ID ''invalid_dim_p2'': expected 3, got 2' AS overall_error")
 def validate_summary(spark, d):
     return state.batch_result(state.validate_points(_bad_batch(spark), 3))
